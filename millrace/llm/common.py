@@ -1,13 +1,13 @@
-"""What the operators share: the cluster's shared folder, stored tables, arrow settings."""
+"""What the operators share: reading tables, stored tables, Arrow settings."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import delete, new_path, release, shared_dir, stored
+
+__all__ = ["BATCH_ROWS", "delete", "new_path", "release", "shared_dir", "small_batches", "stored", "table"]
+
 #: Rows of an Arrow batch; with whole texts in them, batches of Spark's default size could outgrow a worker.
 BATCH_ROWS = 1000
 
@@ -23,37 +23,3 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends, and no executor's loss undoes it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system, whichever file system that is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

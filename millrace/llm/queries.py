@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .language_id import op7_language_id
 from .packing import op1_packing
+from .simhash import op6_simhash
 from .token_files import op4_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
+    "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL = {
