@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op7_language_id
+from .mixing import OP9_SQL, op9_mixing
 from .packing import op1_packing
 from .simhash import op6_simhash
 from .token_files import op4_token_files
+from .topk import OP10_SQL, op10_top_k
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -14,8 +16,12 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op9_mixing": op9_mixing,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op9_mixing": OP9_SQL,
+    "op10_top_k": OP10_SQL,
 }
