@@ -7,6 +7,8 @@ from .language_id import op7_language_id
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op1_packing
 from .simhash import op6_simhash
+from .substring_bytes import op5_suffix_dedup
+from .substring_words import op8_substring_dedup
 from .token_files import op4_token_files
 from .topk import OP10_SQL, op10_top_k
 
@@ -14,8 +16,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
 }
