@@ -9,12 +9,14 @@ from .packing import op1_packing
 from .simhash import op6_simhash
 from .substring_bytes import op5_suffix_dedup
 from .substring_words import op8_substring_dedup
+from .surrogates import op3_surrogates
 from .token_files import op4_token_files
 from .topk import OP10_SQL, op10_top_k
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_surrogates": op3_surrogates,
     "op4_token_files": op4_token_files,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
