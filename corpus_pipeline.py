@@ -33,10 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Kept rows are returned unchanged, label included; null texts are rejected.
     """
-    rows = _numbered(docs, "stage-language")
-    found = predict(rows.select("row", "text"), train(rows))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS)
+    found = predict(rows, train(rows), keep_text=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +46,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component one row stays: that with the least doc_id."""
-    rows = _numbered(docs.orderBy(F.col("doc_id").asc_nulls_last()), "stage-near")  # row numbers in order of ids
-    found = near_duplicates(rows, words=SHINGLE_WORDS, id_col="row")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    """Of each near-duplicate component one row stays: that with the least doc_id (nulls last)."""
+    rows = _numbered(docs, "stage-near")
+    found = near_duplicates(rows, words=SHINGLE_WORDS, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
+    best = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("b"))
+    return rows.join(best.select(F.col("b.r").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

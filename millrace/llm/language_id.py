@@ -223,12 +223,12 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return Model(high, grams)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score instead of the text."""
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score (which replace columns of these names), without the text unless ``keep_text``."""
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias(text_col))
+    keep = [c for c in docs.columns if (c != text_col or keep_text) and c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
                 [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
             )
 
-    schema = rows.drop(text_col).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -126,9 +126,10 @@ def mix(
     planned = planned.select(F.col("_p.s").alias("_source"), F.struct("_p.share", "_p.slots", "_p.blocks", "_p.turns").alias("_plan"))
 
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_digest", digest)
+    # a row's own columns travel in one, so that no name of theirs meets one of the plan's
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(source_col).cast("string").alias("_source"), digest.alias("_digest"), F.col(id_col).alias("_id"))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, _DIGITS))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", id_col)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_id")
     buckets = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     below = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(
@@ -146,7 +147,7 @@ def mix(
     out = turned.withColumn("mix_block", turn)
     out = out.withColumn("mix_slot", F.expr(f"mix_block div _plan.share * {cycle} + element_at(_plan.slots, cast(mix_block % _plan.share + 1 as int))"))
     out = out.withColumn("mix_place", F.expr(f"mix_slot * {block_docs} + _rank % {block_docs}"))
-    return out.select(*docs.columns, *OWN)
+    return out.select("_doc.*", *OWN)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ _PATTERN = re.compile(
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){1,4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d))"
     r"|(?P<name>\b(?:" + "|".join(sorted(_TITLES, key=len, reverse=True)) + r")\.? (?P<given>[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+))"
 )
 
