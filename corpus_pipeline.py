@@ -19,8 +19,9 @@ from millrace.llm.simhash import near_duplicates
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Predictions below this posterior are rejected; a text that two languages code equally well is below.
 MIN_SCORE = 0.5
-#: The near-duplicate stage takes shingles of five words.
+#: The near-duplicate stage takes shingles of five words and links texts with 0.8 of their fingerprint's 64 bits in common.
 SHINGLE_WORDS = 5
+RADIUS = 12
 
 
 def _numbered(docs: DataFrame, label: str) -> DataFrame:
@@ -48,7 +49,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component one row stays: that with the least doc_id (nulls last)."""
     rows = _numbered(docs, "stage-near")
-    found = near_duplicates(rows, words=SHINGLE_WORDS, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    found = near_duplicates(rows, words=SHINGLE_WORDS, radius=RADIUS, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     best = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("b"))
     return rows.join(best.select(F.col("b.r").alias("row")), "row", "left_semi").select(*COLUMNS)

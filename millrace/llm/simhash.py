@@ -14,6 +14,13 @@ split exactly: of three parts of the bits that its members may still differ in,
 for every linked pair; after two splits at most 2**15 distinct fingerprints can be left.
 A shard reports a spanning forest of its links, never all pairs.
 
+Blocks of bits single nothing out at a large radius (a similarity of 0.8 is twelve bits).
+There shards are dealt out by content instead: each of ``BANDS`` keys of a text is made of
+its two least shingle hashes under two orders, so texts with a Jaccard similarity of 0.8
+share no key once in 200,000 times, unrelated texts do not meet by chance, and only texts
+that share a key and lie within the radius are linked.  Large shards are cut into bins,
+and every two bins meet once.
+
 Defined edge cases: null and word-less texts have fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows share a fingerprint and
 each get a row; null document ids never name a component unless it has no other; an empty
@@ -37,19 +44,37 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Members over which a shard is split further.
 SHARD_LIMIT = 1000
+#: Largest radius at which shards by blocks of bits are exact.
+BLOCK_RADIUS = 2
+#: Content keys of a text, members of a bin in a large content shard.
+BANDS = 12
+BIN = 400
 _SLICE = 1 << 15
+_ORDERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(2 * BANDS)]
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> int:
-    """The SimHash of a whole text."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, repeats included."""
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode().lower().split()  # bytes: only A-Z change case, only ASCII white space splits
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(found) - words + 1)
     shingles = map(b" ".join, zip(*(found[i : i + n] for i in range(words)))) if len(found) >= words else iter([b" ".join(found)])
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> int:
+    """The SimHash of a whole text."""
+    return summed(shingle_hashes(text, words, seed))
+
+
+def summed(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes; 0 if there are none."""
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _SLICE):
         part = hashes[at : at + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -57,6 +82,13 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) ->
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def content_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a text's shingle hashes."""
+    least = np.array([(hashes * np.uint64(m)).min() if len(hashes) else 0 for m in _ORDERS], np.uint64)
+    keys = (least[0::2] ^ (least[0::2] >> np.uint64(29))) * np.uint64(_ORDERS[1]) + least[1::2]
+    return keys * np.uint64(_ORDERS[2]) + np.arange(BANDS, dtype=np.uint64)
+
+
 class BKTree:
     """Distinct 64-bit integers under Hamming distance."""
 
@@ -165,7 +197,7 @@ def _search(radius: int):
 
 def near_links(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """Links (src, dst) that connect the distinct longs ``fp`` within ``radius`` (at most two) bits."""
-    if radius > 2:
+    if radius > BLOCK_RADIUS:
         raise ValueError("shards by pairs of four blocks are exact up to two differing bits")
     first, splits = _masks()
     shards = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in first])).alias("mask"))
@@ -189,11 +221,35 @@ def near_links(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SH
     return found
 
 
-def _fingerprints(words: int):
+def content_links(keyed: DataFrame, *, radius: int, bin_size: int = BIN) -> DataFrame:
+    """Links (src, dst) that connect the longs ``fp`` that share a ``key`` and lie within ``radius`` bits."""
+    keyed = common.stored(keyed.select("key", "fp").distinct(), "content-shards")
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bin_size)
+    large = common.stored(large.select("key", F.ceil(F.col("n") / bin_size).alias("bins")), "large-content-shards")
+    trees = keyed.select(F.col("key").alias("mask"), F.lit(0).cast("long").alias("shard"), "fp")
+    if large.limit(1).count():
+        trees = trees.join(large.select(F.col("key").alias("mask")), "mask", "left_anti").select("mask", "shard", "fp")
+        mine = F.pmod(F.xxhash64("fp"), F.col("bins"))
+        binned = keyed.join(large, "key").select("key", "fp", "bins", mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("b"))
+        pair = F.least("a", "b") * F.col("bins") + F.greatest("a", "b") + 1
+        trees = trees.union(binned.select("key", pair.alias("shard"), "fp"))
+    return trees.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp").mapInArrow(_search(radius), "src long, dst long")
+
+
+def _fingerprints(words: int, keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            prints, found = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, words)
+                prints.append(summed(hashes))
+                if keys:
+                    found.append(content_keys(hashes).view(np.int64))
+            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            if keys:
+                flat = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), flat))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys"][: len(columns)])
 
     return run
 
@@ -207,13 +263,22 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach)."""
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach).
+
+    Up to ``BLOCK_RADIUS`` bits every two fingerprints within the radius are linked; beyond,
+    those whose texts share a content key as well.
+    """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = common.stored(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
+    keys = radius > BLOCK_RADIUS
+    schema = "doc_id long, fp long" + ", keys array<long>" * keys
+    prints = common.stored(rows.mapInArrow(_fingerprints(words, keys), schema), "fingerprints")
     nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    links = common.stored(near_links(nodes, radius=radius, shard_limit=shard_limit), "fingerprint-links")
-    member = connected_components(links).select(F.col("node").alias("fp"), "component")
+    if keys:
+        links = content_links(prints.select("fp", F.explode("keys").alias("key")), radius=radius)
+    else:
+        links = near_links(nodes, radius=radius, shard_limit=shard_limit)
+    member = connected_components(common.stored(links, "fingerprint-links")).select(F.col("node").alias("fp"), "component")
     classes = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     classes = common.stored(classes, "fingerprint-classes")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -181,7 +181,7 @@ def slow_print(text, words=3):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def linked(prints):
+def linked(prints, radius=2, also=lambda i, j: True):
     parent = list(range(len(prints)))
 
     def root(i):
@@ -191,7 +191,7 @@ def linked(prints):
 
     for i, a in enumerate(prints):
         for j, b in enumerate(prints[:i]):
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= radius and also(i, j):
                 parent[root(i)] = root(j)
     return [root(i) for i in range(len(prints))]
 
@@ -230,6 +230,35 @@ def test_large_shards_are_split_exactly(spark):
         simhash.near_links(links, radius=3)
 
 
+def slow_code_length(text, learned, table):
+    """Bits of a text, symbol by symbol, by prediction by partial matching with full exclusion."""
+    follow = defaultdict(Counter)
+    for t in learned:
+        symbols = [int(table[b]) for b in b"   " + t.encode()]
+        for i in range(3, len(symbols)):
+            for k in range(4):
+                follow[tuple(symbols[i - k : i])][symbols[i]] += 1
+    symbols, bits = [int(table[b]) for b in b"   " + text.encode()], 0.0
+    for i in range(3, len(symbols)):
+        excluded, p = set(), 1.0
+        for k in (3, 2, 1, 0):
+            left = {s: n for s, n in follow[tuple(symbols[i - k : i])].items() if s not in excluded}
+            if not left:
+                continue
+            total, kinds = sum(left.values()), len(left)
+            if len(follow[tuple(symbols[i - k : i])]) == language_id.SYMBOLS:
+                kinds = 0
+            if symbols[i] in left:
+                p *= left[symbols[i]] / (total + kinds)
+                break
+            p *= kinds / (total + kinds)
+            excluded |= left.keys()
+        else:
+            p /= language_id.SYMBOLS - len(excluded)
+        bits -= np.log2(p)
+    return bits
+
+
 def test_language_id(docs, no_docs):
     model = language_id.train(docs)
     assert model.languages == ["de", "en"]
@@ -238,7 +267,13 @@ def test_language_id(docs, no_docs):
     for r in got:
         by_id[r["doc_id"]].add(r["lang_pred"])
         assert 0 <= r["score"] <= 1
-    assert by_id[3] == {"en"} and by_id[7] == {"de"} and by_id[10] == {"de"}
+    assert by_id[3] == {"en"} and by_id[7] == {"de"}
+    learned = {x: [t for _, t, lang, _ in TEXTS if lang == x and t] for x in model.languages}
+    for d, text, *_ in TEXTS:
+        if d in (3, 7, 9, 10, 14):  # 10 is German but for a passage that only an English row has: that codes better
+            bits = {x: slow_code_length(text, learned[x], model.table) for x in learned}
+            assert by_id[d] == {min(bits, key=lambda x: bits[x])}
+            assert np.allclose(model.lengths([text.encode()])[0], [bits[x] for x in model.languages], rtol=1e-5)
     assert by_id[0] == by_id[1] == by_id[2] == by_id[11] == {"und"} and len(by_id[14]) == 1
     assert language_id.predict(no_docs, model).count() == 0
     nothing = language_id.train(no_docs)
@@ -248,6 +283,49 @@ def test_language_id(docs, no_docs):
         language_id.train(many)
 
 
+def test_content_shards_link_what_shares_a_key_within_the_radius(spark):
+    rng = np.random.default_rng(6)
+    rows = set()
+    for key in range(3):
+        base = int(rng.integers(1 << 62))
+        for _ in range(60):
+            rows.add((key, base ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(1, 14)).tolist()))))
+    rows = sorted(rows)
+    expected = linked([v for _, v in rows], 12, lambda i, j: rows[i][0] == rows[j][0])
+    assert 1 < len(set(expected)) < len(rows)
+    for size in (7, 1000):
+        found = simhash.content_links(spark.createDataFrame(rows + rows[:5], "key bigint, fp bigint"), radius=12, bin_size=size).collect()
+        at = {v: i for i, (_, v) in enumerate(rows)}
+        assert all((r["src"] ^ r["dst"]).bit_count() <= 12 for r in found)
+        parent = list(range(len(rows)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for r in found:
+            parent[root(at[r["src"]])] = root(at[r["dst"]])
+        assert len({(root(i), e) for i, e in enumerate(expected)}) == len(set(expected)) == len({root(i) for i in range(len(rows))})
+
+
+def test_near_copies_share_a_content_key_and_other_texts_do_not():
+    rng = np.random.default_rng(9)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)])
+    texts = [rng.choice(words, 300) for _ in range(40)]
+    prints = [simhash.shingle_hashes(" ".join(t), 5) for t in texts]
+    keys = [set(simhash.content_keys(h).tolist()) for h in prints]
+    assert sum(len(a & b) for i, a in enumerate(keys) for b in keys[:i]) == 0
+    near = 0
+    for t, h, k in zip(texts, prints, keys):
+        changed = t.copy()
+        changed[rng.integers(0, 300, 3)] = "another"
+        other = simhash.shingle_hashes(" ".join(changed), 5)
+        assert k & set(simhash.content_keys(other).tolist())
+        near += (simhash.summed(h) ^ simhash.summed(other)).bit_count() <= 12
+    assert near >= 39
+
+
 def test_language_id_is_right_on_held_out_rows(spark):
     got = QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out and lang is not null")
@@ -289,7 +367,7 @@ def test_mixing_runs_no_python(docs):
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
-    rows += [(20, rows[20][1]), (121, None), (122, [1.0] * 5 + [float("nan")]), (123, [1.0, None, 1, 1, 1, 1]), (124, [float("inf")] * 6), (140, [0.5] * 4), (None, [1.0] * 6), (160, []), (125, rows[3][1])]
+    rows += [(20, rows[20][1]), (121, None), (122, [1.0] * 5 + [float("nan")]), (123, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (124, [float("inf")] * 6), (140, [0.5] * 4), (None, [1.0] * 6), (160, []), (125, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("n", F.lit(1)).withColumn("grp", F.lit(2))
     q = topk.quantised(df)
     got = topk.top_k(q.where("vec_id % 20 = 0"), q, k=7, block_rows=8, group_blocks=3, chunk=2, share_chunks=2).collect()
@@ -341,7 +419,7 @@ def test_pipeline(spark, docs, no_docs, tokenizer):
     assert set(language) <= set(letters) and {3, 7, 9, 10} <= {d for d, _ in language}
     bodies = {re.sub("[\x20\x09-\x0d]", "", t) for _, t in language}
     assert len(exact) == len(bodies) and {re.sub("[\x20\x09-\x0d]", "", t) for _, t in exact} == bodies
-    roots = linked([slow_print(t, 5) for _, t in exact])
+    roots = linked([slow_print(t, 5) for _, t in exact], corpus_pipeline.RADIUS)
     assert len(near) == len(set(roots)) and set(near) <= set(exact)
     assert set(mixed) == set(near)
     pieces = corpus_pipeline.packing(spark, found, SF).collect()
