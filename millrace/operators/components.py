@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import discard, stored
 
 
 def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
         large = stored(large.where("u > v").distinct(), "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        links = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct(), "cc-small")
+        last, links = links, stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct(), "cc-small")
+        discard(large, last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

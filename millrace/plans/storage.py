@@ -6,13 +6,20 @@ executor costs a re-read and never a re-run of earlier rounds.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_TRACKERS: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's part of ``spark.checkpoint.dir``; where that is unset, of a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,7 +38,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    for paths in _TRACKERS:
+        paths.append(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` returned and that no plan will read again."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths that ``stored`` writes meanwhile."""
+    paths: list[str] = []
+    _TRACKERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKERS.remove(paths)
 
 
 def release(spark: SparkSession) -> None:
