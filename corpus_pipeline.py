@@ -6,6 +6,9 @@ the folder that the cluster shares and rereads for the next stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,36 @@ MIN_SCORE = 0.5
 SHINGLE_WORDS = 5
 RADIUS = 12
 
+_left: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that removes what the one before it left in the shared folder, unless ``docs`` still reads that.
+
+    What the last one leaves stays: its result is read later.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and f.__name__ != "language_id":
+            read = "\n".join(docs.inputFiles())
+            for path in [p for p in _left if p.removeprefix("file://") not in read]:
+                common.delete(spark, path)
+        _left.clear()
+        with common.tracked() as paths:
+            found = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return found
+
+    return run
+
 
 def _numbered(docs: DataFrame, label: str) -> DataFrame:
     """``docs`` with ``row``, a number for each row that repeated rows do not share."""
     return common.stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), label)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from all labelled rows; rejected: ``und`` and predictions below ``MIN_SCORE``.
 
@@ -39,6 +66,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space the longest stays, then the one with the least doc_id."""
     rows = _numbered(docs, "stage-exact")
@@ -46,6 +74,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(found, "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component one row stays: that with the least doc_id (nulls last)."""
     rows = _numbered(docs, "stage-near")
@@ -55,11 +84,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(best.select(F.col("b.r").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares: a row for each epoch that a document is in; none is left out."""
     return mix(docs.select(*COLUMNS)).drop(*OWN)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as pieces of sequences of 1024 tokens."""
     return pack(docs)
@@ -83,5 +114,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = common.stored(docs, f"stage-{i}")
+            last, docs = docs, common.stored(docs, f"stage-{i}")
+            common.discard(last)
     return docs

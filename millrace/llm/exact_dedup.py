@@ -60,8 +60,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text, for reference only)."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    open_ = common.stored(rows.mapInArrow(_normalise, _ROWS), "radix-0")
-    open_ = open_.withColumn("group", F.col("n_bytes"))
+    table = common.stored(rows.mapInArrow(_normalise, _ROWS), "radix-0")
+    open_ = table.withColumn("group", F.col("n_bytes"))
     closed, start, run, level = [], 0, FIRST, 0
     while True:
         stop = start + run
@@ -70,8 +70,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         best = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
         groups = keyed.groupBy("group", "digits").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
         # a group's number: taken once the table is stored, so that it never changes
-        groups = common.stored(groups, f"radix-groups-{level}").withColumn("next", F.monotonically_increasing_id())
-        joined = keyed.join(groups, ["group", "digits"])
+        groups = common.stored(groups, f"radix-groups-{level}")
+        joined = keyed.join(groups.withColumn("next", F.monotonically_increasing_id()), ["group", "digits"])
         ended = (F.col("group_size") == 1) | (F.col("n_bytes") <= stop)
         joined = joined.select(
             "doc_id", "n_chars", "row", "n_bytes", F.when(~ended, F.col("data")).alias("data"), "text_sha256", "group_size",
@@ -79,6 +79,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
         level += 1
         done = common.stored(joined, f"radix-{level}")
+        # of a finished round only the closed rows are read again, and their texts are gone
+        common.discard(groups, *([table] if level == 1 else []))
         closed.append(done.where("ended").select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
         open_ = done.where("not ended").select("doc_id", "n_chars", "row", "n_bytes", "data", "text_sha256", "group")
         if open_.limit(1).count() == 0:

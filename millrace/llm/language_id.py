@@ -220,6 +220,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     for language in languages:
         got = counts.where(F.col("lang") == language).select("gram", "n").toArrow()
         grams[language] = (got.column(0).to_numpy(), got.column(1).to_numpy())
+    common.discard(counts)
     return Model(high, grams)
 
 

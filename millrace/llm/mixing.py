@@ -123,11 +123,13 @@ def mix(
     kind = "array<struct<s:string,share:long,slots:array<long>,blocks:long,turns:long>>"
     # at most ``cycle`` slots altogether, whatever the corpus
     planned = spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("_p"))
-    planned = planned.select(F.col("_p.s").alias("_source"), F.struct("_p.share", "_p.slots", "_p.blocks", "_p.turns").alias("_plan"))
+    planned = planned.select(F.coalesce(F.concat(F.lit("s"), F.col("_p.s")), F.lit("n")).alias("_t"), F.struct("_p.share", "_p.slots", "_p.blocks", "_p.turns").alias("_plan"))
 
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     # a row's own columns travel in one, so that no name of theirs meets one of the plan's
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(source_col).cast("string").alias("_source"), digest.alias("_digest"), F.col(id_col).alias("_id"))
+    # a source's name with a letter before it, so that null is a key like others and one shuffle serves the ranks and the join
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
+    rows = docs.select(F.struct("*").alias("_doc"), named(F.col(source_col).cast("string")).alias("_source"), digest.alias("_digest"), F.col(id_col).alias("_id"))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, _DIGITS))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_id")
     buckets = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
@@ -135,10 +137,10 @@ def mix(
     buckets = buckets.select(
         F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_first")
     )
-    buckets = buckets.join(F.broadcast(planned.withColumnRenamed("_source", "_t")), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+    buckets = buckets.join(F.broadcast(planned), F.col("_s") == F.col("_t"))
     buckets = buckets.select("_s", "_b", "_first", "_plan")
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(buckets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    ranked = ranked.join(buckets, (F.col("_source") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first")).withColumn("_block", F.expr(f"_rank div {block_docs}"))
     # block number b of the source is its turn b, b + blocks, b + 2 blocks, ... while turns last
     last = F.expr("(_plan.turns - 1 - _block) div _plan.blocks")

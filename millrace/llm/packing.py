@@ -209,12 +209,13 @@ def _cut(path: str, separator: int, capacity: int):
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids = np.frombuffer(data + end, enc.dtype).astype("<u4")
+                raw, width = data + end, enc.width
+                ids = np.frombuffer(raw, enc.dtype).astype("<u4")
                 n, view = len(ids), memoryview(ids).cast("B")
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
                     part_ids = view[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, size, zlib.crc32(part_ids), n, part, int(seen[size]), bytes(part_ids) if size < capacity else None))
+                    rows.append((doc_id, start, size, zlib.crc32(part_ids), n, part, int(seen[size]), raw[width * start : width * (start + size)] if size < capacity else None))
                     seen[size] += 1
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -237,6 +238,7 @@ def _place(plan: Plan):
                     rows.append((doc[i], start[i], int(lengths[i]), crc[i], n[i], s, int(offset[i])))
                     continue
                 ids = got["ids"][i].as_py()
+                ids = np.frombuffer(ids, f"<u{len(ids) // int(lengths[i])}").astype("<u4").tobytes()
                 for nth, begin, a, b in plan.cuts(int(offset[i]), int(lengths[i])):
                     whole = a == 0 and b == lengths[i]
                     rows.append((doc[i], start[i] + a, b - a, crc[i] if whole else zlib.crc32(ids[4 * a : 4 * b]), n[i], nth, begin))

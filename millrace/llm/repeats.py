@@ -260,6 +260,7 @@ def repeated(docs: DataFrame, units: Units, *, hot_limit: int = HOT_LIMIT, shard
     schema = docs.select(*keep).schema.add("data", "binary").add("segs", near.schema["segs"].dataType)
     texts = docs.join(near, ["k1", "k2"], "left").select(*keep, "text", "segs").mapInArrow(to_data, schema)
     texts = common.stored(texts, "texts")
+    common.discard(marks)
     common.release(spark)
 
     listed = texts.where("segs is not null").select("k1", "k2", "data", "segs")
@@ -267,11 +268,12 @@ def repeated(docs: DataFrame, units: Units, *, hot_limit: int = HOT_LIMIT, shard
     distinct = common.stored(seg.groupBy("h", "c1", "c2", "content", "n").agg(F.count("*").alias("c")), "segments")
     hot = common.stored(distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot_limit).select("h"), "hot-anchors")
     once = (F.col("c") == 1).alias("once")
-    cold, results = distinct, []
+    cold, results, windows = distinct, [], []
     if hot.limit(1).count():
         cold = distinct.join(hot, "h", "left_anti")
         apart = distinct.join(hot, "h", "left_semi").select("c1", "c2", "content", once)
         apart = common.stored(apart.mapInArrow(_take_apart(units), "c1 long, c2 long, i int, once boolean, w1 long, w2 long"), "windows")
+        windows.append(apart)
         pairs = apart.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
         hits = apart.where("once").join(pairs, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("i").alias("at"))
         results.append(hits.mapInArrow(_join_runs, _RESULT))
@@ -284,6 +286,8 @@ def repeated(docs: DataFrame, units: Units, *, hot_limit: int = HOT_LIMIT, shard
     for part in results[1:]:
         out = out.union(part)
     out = common.stored(out, "repeats")
+    common.discard(distinct, hot, *windows)
+    common.release(spark)
     found = seg.select("k1", "k2", "p", "c1", "c2").join(out, ["c1", "c2"])
     found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "runs")).alias("found"))
     return texts, found

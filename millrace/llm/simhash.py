@@ -273,14 +273,19 @@ def near_duplicates(
     keys = radius > BLOCK_RADIUS
     schema = "doc_id long, fp long" + ", keys array<long>" * keys
     prints = common.stored(rows.mapInArrow(_fingerprints(words, keys), schema), "fingerprints")
-    nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    if keys:
-        links = content_links(prints.select("fp", F.explode("keys").alias("key")), radius=radius)
-    else:
-        links = near_links(nodes, radius=radius, shard_limit=shard_limit)
-    member = connected_components(common.stored(links, "fingerprint-links")).select(F.col("node").alias("fp"), "component")
-    classes = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    with common.tracked() as scratch:
+        nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+        if keys:
+            links = content_links(prints.select("fp", F.explode("keys").alias("key")), radius=radius)
+        else:
+            links = near_links(nodes, radius=radius, shard_limit=shard_limit)
+    with common.tracked() as paths:
+        links = common.stored(links, "fingerprint-links")
+        member = connected_components(links).select(F.col("node").alias("fp"), "component")
+        classes = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     classes = common.stored(classes, "fingerprint-classes")
+    for path in [*paths, *scratch]:
+        common.delete(docs.sparkSession, path)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     known = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

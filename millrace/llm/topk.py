@@ -157,8 +157,11 @@ def top_k(
     share_chunks: int = SHARE_CHUNKS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score; both inputs are of the form that ``quantised`` returns."""
-    placed = common.stored(_numbered(candidates, "candidates-sorted"), "candidates")
-    asked = common.stored(_numbered(queries, "queries-sorted"), "queries")
+    with common.tracked() as paths:
+        placed, asked = _numbered(candidates, "candidates-sorted"), _numbered(queries, "queries-sorted")
+    placed, asked = common.stored(placed, "candidates"), common.stored(asked, "queries")
+    for path in paths:
+        common.delete(candidates.sparkSession, path)
     groups = -(-placed.count() // (block_rows * group_blocks))
     shares = -(-asked.count() // (chunk * share_chunks))
     if not groups or not shares:
