@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -64,7 +65,12 @@ def tracked() -> Iterator[list[str]]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    A listener queue holds on to the plan of the last query until another one ends, so a trivial one comes first.
+    """
+    spark.range(1).count()
+    time.sleep(0.2)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
