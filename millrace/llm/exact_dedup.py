@@ -81,6 +81,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         done = common.stored(joined, f"radix-{level}")
         # of a finished round only the closed rows are read again, and their texts are gone
         common.discard(groups, *([table] if level == 1 else []))
+        common.release(docs.sparkSession)
         closed.append(done.where("ended").select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
         open_ = done.where("not ended").select("doc_id", "n_chars", "row", "n_bytes", "data", "text_sha256", "group")
         if open_.limit(1).count() == 0:

@@ -286,6 +286,7 @@ def near_duplicates(
     classes = common.stored(classes, "fingerprint-classes")
     for path in [*paths, *scratch]:
         common.delete(docs.sparkSession, path)
+    common.release(docs.sparkSession)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     known = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
