@@ -13,8 +13,10 @@ out by anchor, so all twins of a window are in one shard.  Equal segments are co
 with a pre-aggregated count first: a passage in a third of all documents is one row.
 Segments that occur twice are repeated as a whole; the others are compared within their
 shard by a solver (``repeated_windows`` of a module).  An anchor with over ``hot_limit``
-different segments would make one large shard: its segments are taken apart into windows,
-which are grouped by a 128-bit digest and counted, again with pre-aggregation.
+different segments would make one large shard: its segments are cut into ranges of windows
+that hold one core of text, ranges are grouped by a 128-bit digest of the core and of the
+whole and counted, again with pre-aggregation, and only those that share a core with
+different ones are taken apart into windows.
 
 Segments are told apart by 128-bit digests when results go back to documents.
 """
@@ -22,12 +24,14 @@ Segments are told apart by 128-bit digests when results go back to documents.
 from __future__ import annotations
 
 import hashlib
+import math
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -82,6 +86,15 @@ def _spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return _mix((total[last] - total[first]) * down[first])
 
 
+def _grams(data: bytes, bounds: tuple[np.ndarray, np.ndarray] | None, gram: int) -> np.ndarray:
+    """Hash of each run of ``gram`` units of a short text."""
+    values = _TABLE[np.frombuffer(data, np.uint8)]
+    if bounds is not None:
+        values = _spans(values, *bounds)
+    place = np.arange(len(values) - gram + 1)
+    return _spans(values, place, place + gram)
+
+
 def anchors(data: bytes, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a text: anchor hash, first window, number of windows."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -99,8 +112,7 @@ def anchors(data: bytes, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarr
             low, high = int(starts[at]), int(ends[stop - 1])
             raw = _TABLE[np.frombuffer(data, np.uint8, high - low, low)]
             values = _spans(raw, starts[at:stop] - low, ends[at:stop] - low)
-        m = len(values) - units.gram + 1
-        place = np.arange(m)
+        place = np.arange(len(values) - units.gram + 1)
         grams = _spans(values, place, place + units.gram)
         # the upper half of the hash, then the place: the least is the leftmost least
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
@@ -210,22 +222,84 @@ def _solve(units: Units, shard_bytes: int):
     return run
 
 
-def _take_apart(units: Units):
+def _digests(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.md5(x, usedforsecurity=False).digest() for x in parts), "<i8").reshape(-1, 2)
+
+
+def _ranges(units: Units):
+    """Segments of hot anchors cut into ranges of windows, by the anchor's offset in a window.
+
+    All windows of a range hold the same core around the anchor, so segments whose cores
+    differ share none of them.
+    """
+    step = math.isqrt(units.window - units.gram + 1) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for c1, c2, content, once in zip(*(c.to_pylist() for c in batch.columns)):
+            cores, whole = [], []
+            for c1, c2, h, content, once in zip(*(c.to_pylist() for c in batch.columns)):
                 bounds = units.bounds(content) if units.bounds else None
                 n = (len(bounds[0]) if bounds else len(content)) - units.window + 1
-                cut = [_cut_text(content, bounds, i, units.window) for i in range(n)]
-                digest = np.frombuffer(b"".join([hashlib.md5(c, usedforsecurity=False).digest() for c in cut]), "<i8").reshape(-1, 2)
-                rows.append((np.full(n, c1), np.full(n, c2), np.arange(n, dtype=np.int32), np.full(n, once), digest[:, 0], digest[:, 1]))
+                grams = _grams(content, bounds, units.gram).view(np.int64)
+                anchor = n - 1 + int(np.flatnonzero(grams[n - 1 : units.window - units.gram + 1] == h)[0])
+                for t in range((anchor - n + 1) // step, anchor // step + 1):
+                    low, high = max(t * step, anchor - n + 1), min((t + 1) * step - 1, anchor)
+                    last = min((t + 1) * step - 1, units.window - units.gram)
+                    core = _cut_text(content, bounds, anchor - t * step, units.window - last + t * step)
+                    cores.append(struct.pack("<qi", h, t) + core)
+                    whole.append(cores[-1] + struct.pack("<ii", low, high) + _cut_text(content, bounds, anchor - high, high - low + units.window))
+                    rows.append((c1, c2, anchor - high, high - low + 1, once))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                columns += [pa.array(np.ascontiguousarray(d[:, i])) for d in (_digests(cores), _digests(whole)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "off", "n", "once", "k1", "k2", "s1", "s2"])
+
+    return run
+
+
+def _windows(units: Units):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for c1, c2, off, n, single, content in zip(*(c.to_pylist() for c in batch.columns)):
+                bounds = units.bounds(content) if units.bounds else None
+                digest = _digests([_cut_text(content, bounds, i, units.window) for i in range(off, off + n)])
+                rows.append((np.full(n, c1), np.full(n, c2), np.arange(off, off + n, dtype=np.int32), np.full(n, single), digest[:, 0], digest[:, 1]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["c1", "c2", "i", "once", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["c1", "c2", "i", "single", "w1", "w2"])
 
     return run
 
 
+def _u16(value: Column) -> Column:
+    """A number below 2**16 as four hexadecimal digits, low byte first."""
+    value = value.cast("int")
+    return F.concat(F.lpad(F.hex(value % 256), 2, "0"), F.lpad(F.hex(F.shiftright(value, 8)), 2, "0"))
+
+
+def _repeated_in_hot(apart: DataFrame, units: Units) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Results for segments (c1, c2, h, content, once) of hot anchors, and the tables that they read.
+
+    Equal ranges of several segments are repeated as a whole.  Only ranges whose core others
+    share too are taken apart into windows, one of each kind: those over the ends of a passage.
+    """
+    schema = "c1 long, c2 long, off int, n int, once boolean, k1 long, k2 long, s1 long, s2 long"
+    parts = common.stored(apart.mapInArrow(_ranges(units), schema), "ranges")
+    one = F.min(F.struct("c1", "c2", "off", "n")).alias("one")
+    kinds = common.stored(parts.groupBy("k1", "k2", "s1", "s2").agg(F.count("*").alias("c"), one), "range-kinds")
+    again = parts.where("once").join(kinds.where("c > 1").select("s1", "s2"), ["s1", "s2"], "left_semi")
+    again = again.select("c1", "c2", F.unhex(F.concat(_u16(F.col("off")), _u16(F.col("off") + F.col("n")))).alias("runs"))
+    shared = kinds.groupBy("k1", "k2").agg(F.count("*").alias("m")).where("m > 1").select("k1", "k2")
+    crossing = kinds.join(shared, ["k1", "k2"], "left_semi").select("one.*", (F.col("c") == 1).alias("single"))
+    crossing = crossing.join(apart.select("c1", "c2", "content"), ["c1", "c2"]).select("c1", "c2", "off", "n", "single", "content")
+    windows = common.stored(crossing.mapInArrow(_windows(units), "c1 long, c2 long, i int, single boolean, w1 long, w2 long"), "windows")
+    pairs = windows.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
+    hits = windows.where("single").join(pairs, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("i").alias("at"))
+    return [again, hits.mapInArrow(_join_runs, _RESULT)], [parts, kinds, windows]
+
+
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c1, c2, places = (c.to_pylist() for c in batch.columns)
@@ -271,16 +345,11 @@ def repeated(docs: DataFrame, units: Units, *, hot_limit: int = HOT_LIMIT, shard
     cold, results, windows = distinct, [], []
     if hot.limit(1).count():
         cold = distinct.join(hot, "h", "left_anti")
-        apart = distinct.join(hot, "h", "left_semi").select("c1", "c2", "content", once)
-        apart = common.stored(apart.mapInArrow(_take_apart(units), "c1 long, c2 long, i int, once boolean, w1 long, w2 long"), "windows")
-        windows.append(apart)
-        pairs = apart.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-        hits = apart.where("once").join(pairs, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("i").alias("at"))
-        results.append(hits.mapInArrow(_join_runs, _RESULT))
+        apart = distinct.join(hot, "h", "left_semi").select("c1", "c2", "h", "content", once)
+        results, windows = _repeated_in_hot(apart, units)
     shards = cold.repartition("h").sortWithinPartitions("h").select("h", "c1", "c2", "content", once)
     results.append(shards.mapInArrow(_solve(units, shard_bytes), _RESULT))
-    low, high = F.col("n").cast("int") % 256, F.shiftright(F.col("n"), 8)
-    whole = F.unhex(F.concat(F.lit("0000"), F.lpad(F.hex(low), 2, "0"), F.lpad(F.hex(high), 2, "0")))
+    whole = F.unhex(F.concat(F.lit("0000"), _u16(F.col("n"))))
     results.append(distinct.where("c > 1").select("c1", "c2", whole.alias("runs")))
     out = results[0]
     for part in results[1:]:
