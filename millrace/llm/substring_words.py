@@ -42,60 +42,75 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], blanks + 1]), np.append(blanks, len(data))
 
 
+#: Pairs of a probe and a block that are extended at once.
+_PAIRS = 1 << 20
+
+
 def repeated_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
     """For each text, which of its word windows also start anywhere else in ``texts``."""
     block = (window + 1) // 2
     words = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in words])
+    sizes = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(sizes) - sizes
     # words as numbers: equal numbers are equal words
     numbers: dict[bytes, int] = {}
     ids = np.array([numbers.setdefault(w, len(numbers)) for text in words for w in text], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    n = len(ids)
-    place = np.arange(max(0, n - block + 1))
+    begin, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    marks = np.zeros(len(ids) + 1, np.int64)  # of windows: how many repeats begin there less how many have ended
+    place = np.arange(max(0, len(ids) - block + 1))
+    place = place[place + block <= end[place]]
     hashes = _spans(ids.astype(np.uint64) + np.uint64(1), place, place + block)
-    inside = owner[place] == owner[place + block - 1]
-    place = place[inside]
-    hashes = hashes[inside]
-    # the index: blocks by hash
-    reference = np.flatnonzero((place - starts[owner[place]]) % block == 0)
-    order = reference[np.argsort(hashes[reference], kind="stable")]
-    keys = hashes[order]
-    # probes: every rolling window meets the blocks of its hash
-    low, high = np.searchsorted(keys, hashes, side="left"), np.searchsorted(keys, hashes, side="right")
-    again = [np.zeros(max(0, k - window + 1), bool) for k in sizes.tolist()]
-    busy = np.flatnonzero(high - low > 0)
-    listed, limit = ids, sizes.tolist()
-    seen: dict[tuple[int, int, int], int] = {}  # (text, text, diagonal): how far the last repeat there reached
-    begins = starts.tolist()
-    for probe in busy.tolist():
-        at = int(place[probe])
-        a = int(owner[at])
-        i = at - begins[a]
-        for k in range(int(low[probe]), int(high[probe])):
-            other = int(place[order[k]])
-            if other == at:
-                continue
-            b = int(owner[other])
-            j = other - begins[b]
-            diagonal = (a, b, i - j)
-            if seen.get(diagonal, -1) >= i:
-                continue
-            if not np.array_equal(listed[at : at + block], listed[other : other + block]):
-                continue  # a collision of hashes
-            # maximal exact repeat around the hit
-            back, most = 0, min(i, j)
-            while back < most and listed[at - back - 1] == listed[other - back - 1]:
-                back += 1
-            ahead, most = block, min(limit[a] - i, limit[b] - j)
-            while ahead < most and listed[at + ahead] == listed[other + ahead]:
-                ahead += 1
-            seen[diagonal] = i + ahead - block
-            if back + ahead >= window:
-                again[a][i - back : i + ahead - window + 1] = True
-                again[b][j - back : j + ahead - window + 1] = True
-    return again
+    while len(place):
+        # the index: blocks by hash; every rolling window probes it
+        reference = np.flatnonzero((place - begin[place]) % block == 0)
+        order = reference[np.argsort(hashes[reference], kind="stable")]
+        low, high = (np.searchsorted(hashes[order], hashes, side=side) for side in ("left", "right"))
+        hit = np.flatnonzero(high > low)
+        first = place[order[low[hit]]]
+        same = np.ones(len(hit), bool)
+        for k in range(block):
+            same &= ids[place[hit] + k] == ids[first + k]
+        equal = np.zeros(len(place), bool)
+        equal[hit[same]] = True
+        found = order[equal[order]]
+        low, high = (np.searchsorted(hashes[found], hashes[hit[same]], side=side) for side in ("left", "right"))
+        _extend(place[hit[same]], place[found], low, high, ids, begin, end, window, block, marks)
+        # blocks whose hash meets that of a different block go round again
+        place, hashes = place[hit[~same]], hashes[hit[~same]]
+    again = np.cumsum(marks) > 0
+    return [again[s : s + max(0, k - window + 1)] for s, k in zip(starts.tolist(), sizes.tolist())]
+
+
+def _extend(probes, blocks, low, high, ids, begin, end, window, block, marks) -> None:
+    """Extend each probe and its equal blocks ``low`` to ``high`` to maximal repeats, as far as a window over them reaches."""
+    counts = high - low
+    cut = 0
+    total = np.cumsum(counts)
+    while cut < len(probes):
+        stop = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + _PAIRS)))
+        n = counts[cut:stop]
+        p = np.repeat(probes[cut:stop], n)
+        r = blocks[np.repeat(low[cut:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        p, r = p[p != r], r[p != r]
+        length, first = np.full(len(p), block), p.copy()
+        for step in (-1, 1):
+            live = np.arange(len(p))
+            for k in range(1, window - block + 1):
+                far = -k if step < 0 else block - 1 + k
+                a, b = p[live] + far, r[live] + far
+                inside = (a >= begin[p[live]]) & (b >= begin[r[live]]) if step < 0 else (a < end[p[live]]) & (b < end[r[live]])
+                live, a, b = live[inside], a[inside], b[inside]
+                live = live[ids[a] == ids[b]]
+                if not len(live):
+                    break
+                length[live] += 1
+                if step < 0:
+                    first[live] -= 1
+        long = length >= window
+        for at in (first[long], (first - p + r)[long]):
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + length[long] - window + 1, -1)
+        cut = stop
 
 
 def remove_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
