@@ -58,35 +58,50 @@ def _windows(symbols: np.ndarray) -> np.ndarray:
     return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
 
 
-def code_lengths(counts: np.ndarray) -> list[np.ndarray]:
-    """Bits of each symbol in each context of order 0, 1, 2, 3; ``counts`` has one axis for each of the four symbols."""
-    by_order = [counts.sum(axis=tuple(range(ORDER - k))) for k in range(ORDER + 1)]
-    by_order = [c.reshape(-1, SYMBOLS).astype(np.float64) for c in by_order]
+#: Contexts whose code lengths are worked out at once.
+_CONTEXTS = 1 << 13
+
+
+def code_lengths(counts: np.ndarray, used: np.ndarray | None = None) -> list[np.ndarray]:
+    """Bits of each symbol in each context of order 0, 1, 2 and (of the contexts ``used``, or all) 3.
+
+    ``counts`` has one axis for each of the four symbols.
+    """
+    by_order = [counts.sum(axis=tuple(range(ORDER - k))).reshape(-1, SYMBOLS) for k in range(ORDER + 1)]
     out: list[np.ndarray] = []
     shorter = np.full((1, SYMBOLS), 1.0 / SYMBOLS)  # order -1: nothing is known
-    escaped = None  # probabilities in the shorter context once this context's symbols are excluded
+    escaped = shorter  # probabilities in the shorter context once this context's symbols are excluded
     for k, c in enumerate(by_order):
-        seen = c > 0
-        full = seen.all(axis=1, keepdims=True)
-        if k == 0:
-            rest = np.maximum(SYMBOLS - seen.sum(axis=1, keepdims=True), 1)
-            now = np.broadcast_to(1.0 / rest, c.shape)
-        else:
-            below = np.tile(by_order[k - 1], (len(c) // len(by_order[k - 1]), 1))  # the suffix of a context: its number modulo
-            seen_below = below > 0
-            full_below = seen_below.all(axis=1, keepdims=True)
-            free = np.where(seen, 0.0, below)
-            n, q = free.sum(axis=1, keepdims=True), (free > 0).sum(axis=1, keepdims=True)
-            q = np.where(full_below, 0, q)
-            deeper = np.tile(escaped, (len(c) // len(escaped), 1))
-            total = np.maximum(n + q, 1)
-            now = np.where(n == 0, deeper, np.where(seen_below, free / total, q / total * deeper))
-            shorter = np.tile(out[-1], (len(c) // len(out[-1]), 1))
-        n, q = c.sum(axis=1, keepdims=True), np.where(full, 0, seen.sum(axis=1, keepdims=True))
-        total = np.maximum(n + q, 1)
-        out.append(np.where(n == 0, shorter, np.where(seen, c / total, q / total * now)))
-        escaped = now
-    return [-np.log2(np.maximum(p, 1e-300)) for p in out]
+        rows = np.arange(len(c)) if k < ORDER or used is None else np.flatnonzero(used)
+        below = by_order[k - 1] if k else None
+        parts = [_coded(c, rows[i : i + _CONTEXTS], below, shorter, escaped) for i in range(0, len(rows), _CONTEXTS)]
+        last = k == ORDER
+        shorter = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, SYMBOLS))
+        escaped = None if last else np.concatenate([e for _, e in parts])
+        out.append(-np.log2(np.maximum(shorter, 1e-300)))
+    return out
+
+
+def _coded(counts: np.ndarray, rows: np.ndarray, below: np.ndarray | None, shorter: np.ndarray, escaped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities in the contexts ``rows``, and those after an escape from them."""
+    c = counts[rows].astype(np.float64)
+    seen = c > 0
+    kinds = seen.sum(axis=1, keepdims=True)
+    if below is None:
+        now = np.broadcast_to(1.0 / np.maximum(SYMBOLS - kinds, 1), c.shape)
+    else:
+        suffix = rows % len(below)  # a context's suffix: its number modulo
+        under = below[suffix].astype(np.float64)
+        seen_under = under > 0
+        free = np.where(seen, 0.0, under)
+        n, q = free.sum(axis=1, keepdims=True), (free > 0).sum(axis=1, keepdims=True)
+        q = np.where(seen_under.all(axis=1, keepdims=True), 0, q)
+        deeper, total = escaped[suffix], np.maximum(n + q, 1)
+        now = np.where(n == 0, deeper, np.where(seen_under, free / total, q / total * deeper))
+    n, q = c.sum(axis=1, keepdims=True), np.where(kinds == SYMBOLS, 0, kinds)
+    total = np.maximum(n + q, 1)
+    less = shorter[rows % len(shorter)]
+    return np.where(n == 0, less, np.where(seen, c / total, q / total * now)), now
 
 
 class Model:
@@ -107,9 +122,9 @@ class Model:
             keys, n = grams[language]
             counts = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
             counts[keys] = n
-            bits = code_lengths(counts.reshape([SYMBOLS] * (ORDER + 1)))
+            bits = code_lengths(counts.reshape([SYMBOLS] * (ORDER + 1)), used)
             self.bits[: SYMBOLS**2, :, i] = bits[2]
-            self.bits[SYMBOLS**2 :, :, i] = bits[3][used]
+            self.bits[SYMBOLS**2 :, :, i] = bits[3]
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
