@@ -170,6 +170,31 @@ def test_repeated_passages(docs, no_docs, monkeypatch, hot):
     assert substring_words.remove_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("hot", [500, 1])
+def test_queries_for_repeats_over_a_whole_table(spark, monkeypatch, hot):
+    monkeypatch.setitem(repeats.repeated.__kwdefaults__, "hot_limit", hot)
+    rows = common.table(spark, SF, "documents").select("doc_id", "text").collect()
+
+    def covered_words(units, window):
+        keys = [[hash(u[i : i + window]) for i in range(len(u) - window + 1)] for u in units]
+        counts = Counter(k for each in keys for k in each)
+        for u, each in zip(units, keys):
+            gone = bytearray(len(u))
+            for i, k in enumerate(each):
+                if counts[k] > 1:
+                    gone[i : i + window] = b"\1" * window
+            yield u, gone
+
+    units = [(r["text"] or "").encode() for r in rows]
+    expected = [(len(u), sum(g), hashlib.sha256(bytes(b for b, x in zip(u, g) if not x)).hexdigest()) for u, g in covered_words(units, 200)]
+    got = QUERIES["op5_suffix_dedup"](spark, SF).select("doc_id", "n_bytes", "n_removed", "kept_sha256")
+    assert bag(got.collect()) == Counter((r["doc_id"], *e) for r, e in zip(rows, expected))
+    units = [tuple((r["text"] or "").encode().split()) for r in rows]
+    expected = [(len(u), sum(g), hashlib.sha256(b" ".join(w for w, x in zip(u, g) if not x)).hexdigest()) for u, g in covered_words(units, 35)]
+    got = QUERIES["op8_substring_dedup"](spark, SF).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert bag(got.collect()) == Counter((r["doc_id"], *e) for r, e in zip(rows, expected))
+
+
 def slow_print(text, words=3):
     found = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     shingles = [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([" ".join(found)] if found else [])
