@@ -335,6 +335,13 @@ def components(spark, sf_dir):
     return connected_components(edges)
 
 
+@_query("connected_components_whole")
+def components_whole(spark, sf_dir):
+    """The same graph from all orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return connected_components(orders.select(F.col("o_custkey").alias("src"), F.expr("1000000000 + o_orderkey div 2").alias("dst")))
+
+
 @_query("clock_ticks", "SELECT unnest(generate_series(1704067200, 1704067200 + 86400, 3600)) AS t")
 def clock_ticks(spark, sf_dir):
     """A tick every hour of a day."""

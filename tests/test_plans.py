@@ -207,3 +207,27 @@ def test_streaming_lookup(spark, tmp_path):
     query = Streaming(spark, flow, topics).start_each("out", lambda df, n: seen.extend(tuple(r["value"]) for r in df.orderBy("ord").collect()), str(tmp_path / "check"))
     query.awaitTermination()
     assert seen == [(1, 0), (2, -5)]
+
+
+def whole_tables(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_components_of_all_orders(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(7 * i + 1 + i % 6, rng.randint(1, 60)) for i in range(80)]  # no key is a multiple of 7
+    folder = whole_tables(spark, tmp_path, orders=([(k, c, "5-LOW") for k, c in rows], "o_orderkey long, o_custkey long, o_orderpriority string"))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for key, customer in rows:
+        a, b = sorted((root(customer), root(1000000000 + key // 2)))
+        parent[b] = a
+    found = __spark_entry__.queries()["connected_components_whole"](spark, folder).collect()
+    assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
