@@ -320,6 +320,15 @@ def cycle_linear(spark, sf_dir):
     return _messages(spark, sf_dir, build).select(F.col("key").alias("user_id"), F.col("value").alias("v"))
 
 
+@_query("cycle_linear_whole")
+def cycle_linear_whole(spark, sf_dir):
+    """The same over every event: the end is above all ids, and a step is an eighth of it."""
+    end = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]
+    step = -(-end // 8)
+    build = lambda flow, s: flow.cycle("grown", lambda me: flow.merge(new=s, again=me).filter(lambda v: v < end).map(lambda v: v + step))
+    return _messages(spark, sf_dir, build).select(F.col("key").alias("user_id"), F.col("value").alias("v"))
+
+
 @_query(
     "connected_components",
     """WITH RECURSIVE e AS (
@@ -364,6 +373,21 @@ def scheduler(spark, sf_dir):
     return batch.stream("triggered").select(F.col("key").alias("tick"), F.array_join("value", ",").alias("names"))
 
 
+@_query("scheduler_whole")
+def scheduler_whole(spark, sf_dir):
+    """The same for every event: all requests come before all ticks, so each tick finds the list that is current in the end."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("due", F.expr("unix_seconds(cast(ts as timestamp)) div 3600 * 3600"))
+    ends = events.agg(F.min("due").alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z")).first()
+    flow = Flow()
+    requests = flow.source("requests").map(lambda r: F.array(r)).sum(LIST, "array<bigint>")
+    batch = Batch(spark, flow, {"requests": topic(events, key="due", value="event_id", order=["event_id"])})
+    if ends["a"] is None:  # no events
+        return batch.current(requests).select(F.col("key").alias("tick"), F.array_join("value", ",").alias("names"))
+    known = batch.current(requests).select(F.col("key").alias("tick"), F.array_join(F.array_sort("value"), ",").alias("names"))
+    ticks = spark.range(ends["a"], ends["z"] + 1, 3600).select(F.col("id").alias("tick"))
+    return ticks.join(known, "tick", "left").select("tick", F.coalesce("names", F.lit("")).alias("names"))
+
+
 @_query(
     "linear_road",
     """WITH p AS (SELECT user_id AS car, concat(event_id % 10, '@', floor(epoch(ts))::BIGINT // 3600) AS place, event_id, value AS speed FROM events),
@@ -458,10 +482,25 @@ def customer_transactions(spark, sf_dir):
     return out.select(F.col("key").alias("customer"), F.col("value._1").alias("name"), F.size("value._2").cast("bigint").alias("orders"), F.array_join("value._2", ",").alias("listed"))
 
 
+@_query("customer_transactions_whole")
+def customer_transactions_whole(spark, sf_dir):
+    """The same over all orders: only the last pair of pools is asked for, so each is brought to its present value before they meet."""
+    flow = Flow()
+    orders = flow.source("transactions").map(lambda v: F.struct(v["c"].alias("_1"), v["o"].alias("_2"))).group_by_key().stream_to("by-customer")
+    listed = orders.map(lambda o: F.array(o)).sum(LIST, "array<bigint>")
+    names = flow.source("customers").latest_option("string")
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").distinct()
+    transactions = topic(raw, key="o_orderkey", value="struct(o_custkey as c, o_orderkey as o)", order=["o_orderkey"])
+    customers = topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="c_name", order=["c_custkey"])
+    batch = Batch(spark, flow, {"transactions": transactions, "customers": customers})
+    found = batch.current(names).select("key", F.col("value").alias("name")).where("name is not null").join(batch.current(listed), "key")
+    return found.select(F.col("key").alias("customer"), "name", F.size("value").cast("bigint").alias("orders"), F.array_join(F.array_sort("value"), ",").alias("listed"))
+
+
 @_query("entity_resolution")
 def entity_resolution(spark, sf_dir):
     """Parts as products: names from their numbers, categories from their brands; what merging brings about."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 60")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     value = "struct(array(concat('n', p_partkey % 17), concat('m', p_partkey % 23)) as names, p_size as price, array(p_brand) as categories)"
     products = topic(parts, key="0L", value=value, order=["p_partkey"])
     out = Batch(spark, jobs.entity_resolution(), {"products": products}).stream("resolved")

@@ -231,3 +231,38 @@ def test_components_of_all_orders(spark, tmp_path):
         parent[b] = a
     found = __spark_entry__.queries()["connected_components_whole"](spark, folder).collect()
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
+
+
+def test_no_query_stops_at_a_fixed_id(spark, tmp_path):
+    rng = random.Random(8)
+    parts = [(k, 1 + k % 50, f"Brand#{k % 3}") for k in range(1, 241)]
+    orders = [(k, rng.randint(1, 9)) for k in range(3990, 4060)]
+    events = [(k, k % 5, f"2024-01-01 {k % 7:02d}:10:00") for k in [*range(195, 230), *range(7990, 8030)]]
+    folder = whole_tables(
+        spark, tmp_path,
+        part=(parts, "p_partkey long, p_size int, p_brand string"),
+        orders=(orders, "o_orderkey long, o_custkey long"),
+        customer=([(c, f"C{c}") for c in range(1, 9)], "c_custkey long, c_name string"),
+        events=(events, "event_id long, user_id long, ts string"),
+    )
+    run = lambda name: [tuple(r) for r in __spark_entry__.queries()[name](spark, folder).collect()]
+
+    listed = {c: sorted(k for k, d in orders if d == c) for c in range(1, 9)}
+    assert sorted(run("customer_transactions_whole")) == [(c, f"C{c}", len(v), ",".join(map(str, v))) for c, v in listed.items() if v]
+
+    ticks = run("scheduler_whole")
+    assert sorted(int(x) for _, names in ticks for x in names.split(",") if x) == sorted(k for k, _, _ in events)
+    assert all(int(x) % 7 == tick % 86400 // 3600 for tick, names in ticks for x in names.split(",") if x)
+
+    end, step, grown = 8030, 1004, []
+    for k, user, _ in events:
+        while k < end:
+            k += step
+            grown.append((user, k))
+    assert sorted(run("cycle_linear_whole")) == sorted(grown)
+
+    known = {}
+    for k, size, brand in parts:
+        known[brand], _ = jobs.swoosh(known.get(brand, []), {"names": [f"n{k % 17}", f"m{k % 23}"], "price": size, "categories": [brand]})
+    last = {(b, ",".join(p["names"]), p["price"]) for b, found in known.items() for p in found}
+    assert last <= set(run("entity_resolution"))
