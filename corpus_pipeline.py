@@ -86,14 +86,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a row for each epoch that a document is in; none is left out."""
-    return mix(docs.select(*COLUMNS)).drop(*OWN)
+    """Sources in their target shares: a row for each epoch that a document is in; none is left out.
+
+    Rows are in the order of the mix: that of the partitions, and of the rows inside each.
+    """
+    mixed = mix(docs.select(*COLUMNS))
+    return mixed.repartitionByRange("mix_place").sortWithinPartitions("mix_place").drop(*OWN)
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents as pieces of sequences of 1024 tokens."""
-    return pack(docs)
+    """The mixed documents as pieces of sequences of 1024 tokens; pieces of one length keep the order of the mix."""
+    return pack(docs, keep_order=bool(docs.inputFiles()))
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +197,7 @@ class Plan:
             done += take
 
 
-_PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long, ids binary"
+_PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, file string, part long, local long, ids binary"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -204,22 +205,29 @@ def _cut(path: str, separator: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(path)
+        file, part, enc = "", TaskContext.get().partitionId(), encoder(path)
         end, seen = np.asarray([separator], enc.dtype).tobytes(), np.zeros(capacity + 1, np.int64)
+        last = (None, 0)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            ordered = batch.num_columns > 2
+            places = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if ordered else repeat(last)
+            for doc_id, data, place in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), places):
+                if ordered:
+                    if place != (last[0], last[1] + 1):  # a stretch of a file begins; a task may read several
+                        (file, part), seen = place, np.zeros(capacity + 1, np.int64)
+                    last = place
                 raw, width = data + end, enc.width
                 ids = np.frombuffer(raw, enc.dtype).astype("<u4")
                 n, view = len(ids), memoryview(ids).cast("B")
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
                     part_ids = view[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, size, zlib.crc32(part_ids), n, part, int(seen[size]), raw[width * start : width * (start + size)] if size < capacity else None))
+                    rows.append((doc_id, start, size, zlib.crc32(part_ids), n, file, part, int(seen[size]), raw[width * start : width * (start + size)] if size < capacity else None))
                     seen[size] += 1
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local", "ids")
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+                names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "file", "part", "local", "ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
     return run
@@ -259,9 +267,13 @@ def pack(
     gap: float = GAP,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_order: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    ``keep_order`` is for rows read from Parquet files: pieces of one length are ranked by file
+    name and row, however the files were dealt to tasks, so a stored order goes on in the sequences.
+
     Tokens are made once and stored with their pieces in the shared folder; only the
     length histogram comes to the driver, and only the plan (at most ``capacity`` patterns)
     goes out.
@@ -269,12 +281,15 @@ def pack(
     common.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if keep_order:
+        place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place)
     pieces = common.stored(rows.mapInArrow(_cut(path, separator, capacity), _PIECES), "pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = pieces.groupBy("file", "part", "length").agg(F.count("*").alias("n"))
     demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("local"))
+    before = Window.partitionBy("length").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("file", "part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = pieces.join(first, ["file", "part", "length"]).withColumn("rank", F.col("first") + F.col("local"))
     return ranked.mapInArrow(_place(Plan(demand, capacity, slack, gap)), _PACKED)
 
 

@@ -457,3 +457,20 @@ def test_pipeline(spark, docs, no_docs, tokenizer):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    rows = [(i, f"{'x ' * (i % 7)}w{i}", "en", "abc"[min(i % 4, 2)], 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    expected = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_place").collect()]
+    many = common.stored(corpus_pipeline.source_mix(spark, docs, SF), "test-mix")
+    place = ["_metadata.file_name", "_metadata.row_index"]
+    assert [r["doc_id"] for r in many.orderBy(*place).collect()] == expected
+    # large files are dealt to tasks before small ones, whatever their names
+    uneven = many.withColumn("at", F.when(F.col("doc_id") < 20, 0).when(F.col("doc_id") < 300, 2).otherwise(1)).repartitionByRange(3, "at").drop("at")
+    for df in (many, common.stored(uneven, "test-mix")):
+        order = [r["doc_id"] for r in df.orderBy(*place).collect()]
+        pieces = corpus_pipeline.packing(spark, df, SF).where("start = 0").orderBy("sequence_id", "offset").collect()
+        tokens = {r["doc_id"]: r["doc_tokens"] for r in pieces}
+        for n in set(tokens.values()):
+            assert [r["doc_id"] for r in pieces if r["doc_tokens"] == n] == [d for d in order if tokens[d] == n]
