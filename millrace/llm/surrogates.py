@@ -19,7 +19,8 @@ its inverse), so no entity is its own surrogate; ``collisions`` counts over a co
 surrogates that stand for several entities, which must be none.
 
 Types: email, phone, card, account (digits like a card's without its check digit), ip,
-iban, name (after a title) and secret (values of password, token, key assignments;
+iban, name (each word of a run of capitalised words after a
+title, and other mentions of these words in the text) and secret (values of password, token, key assignments;
 hexadecimal stays hexadecimal).
 
 Defined edge cases: null text stays null and has no entities; texts without entities
@@ -32,6 +33,7 @@ from __future__ import annotations
 import functools
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +49,14 @@ _NAMES = {
     "m": "Adam Albert Anton Carlos Daniel David Diego Emil Felix Georg Henri Hugo Jan Javier Johann Jules Karl Louis Lucas Luis Marc Martin Max Miguel Oscar Otto Pablo Paul Pedro Peter Pierre Samuel Simon Thomas Victor Walter".split(),
     "f": "Alice Ana Anna Carla Carmen Clara Claire Elena Elisa Emma Eva Greta Hanna Helena Ida Ines Irma Jana Julia Karin Lara Laura Lea Lena Lucia Luise Maria Marie Marta Nina Nora Paula Rosa Sara Sofia Vera".split(),
 }
-_TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Frau": "f", "Madame": "f", "Señora": "f"}
+_TITLES = {
+    **dict.fromkeys("Mr Mister Sir Herr Herrn Monsieur Señor Sr Don Господин Κύριος Κύριε".split(), "m"),
+    **dict.fromkeys("Mrs Ms Miss Madam Frau Fräulein Madame Mme Mademoiselle Mlle Señora Señorita Sra Srta Doña Госпожа Κυρία".split(), "f"),
+    **dict.fromkeys("Dr Prof Professor Professeur Profesor Doctor Docteur Доктор Профессор".split(), "n"),
+    "M.": "m",
+}
+#: Words in lower case that a name goes on after.
+_PARTICLES = frozenset("von van vom zu zur de der den del della di da do dos du la le el al bin ben ten ter y e und".split())
 
 _PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
@@ -55,11 +64,17 @@ _PATTERN = re.compile(
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d))"
-    r"|(?P<name>\b(?:" + "|".join(sorted(_TITLES, key=len, reverse=True)) + r")\.? (?P<given>[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{3,4}[ -]\d{3,5}|0\d{1,4}[ /-]\d{5,8}|[679]\d{2} \d{3} \d{3})(?!\w|[.-]\d))"
+    r"|(?P<name>\b(?:" + "|".join(re.escape(t) for t in sorted(_TITLES, key=len, reverse=True)) + r")\.?[ \u00a0]+(?=[^\W\d_]))"
 )
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[ \u00a0]+|[-'’]")
+_INITIAL = re.compile(r"\. ?")
+
+
 #: Every entity's text holds one of these.
 _HINTS = [*"0123456789@=:", *_TITLES]
 
@@ -103,7 +118,18 @@ _CLASSES = (
     "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ",
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
-_CLASS_OF = {ch: i for i, chars in enumerate(_CLASSES) for ch in chars}
+_CLASS_OF = {ch: (str(i), chars) for i, chars in enumerate(_CLASSES) for ch in chars}
+
+
+@functools.lru_cache(100_000)
+def _class_of(ch: str) -> tuple[str, str] | None:
+    """Label and symbols of a symbol's class; other letters' classes are those of their script and case near them."""
+    if ch in _CLASS_OF or not ch.isalpha():
+        return _CLASS_OF.get(ch)
+    kind = lambda c: (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    first = ord(ch) >> 7 << 7
+    chars = "".join(c for c in map(chr, range(first, first + 128)) if c not in _CLASS_OF and kind(c) == kind(ch))
+    return f"<{ord(chars[0])}>", chars
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
@@ -116,21 +142,21 @@ class Surrogates:
 
     def _format(self, text: str, tweak: bytes, keep: int = 0) -> str:
         """Every symbol but the first ``keep`` permuted within its class; the whole string is one number per format."""
-        classes = [_CLASS_OF.get(c) if i >= keep else None for i, c in enumerate(text)]
+        classes = [_class_of(c) if i >= keep else None for i, c in enumerate(text)]
         value, bound = 0, 1
         for c, k in zip(text, classes):
             if k is not None:
-                value = value * len(_CLASSES[k]) + _CLASSES[k].index(c)
-                bound *= len(_CLASSES[k])
-        shape = "".join(c if k is None else str(k) for c, k in zip(text, classes))
+                value = value * len(k[1]) + k[1].index(c)
+                bound *= len(k[1])
+        shape = "".join(c if k is None else k[0] for c, k in zip(text, classes))
         value = self._permute.number(value, bound, tweak + b"|" + shape.encode())
         out: list[str] = []
         for c, k in zip(reversed(text), reversed(classes)):
             if k is None:
                 out.append(c)
             else:
-                value, at = divmod(value, len(_CLASSES[k]))
-                out.append(_CLASSES[k][at])
+                value, at = divmod(value, len(k[1]))
+                out.append(k[1][at])
         return "".join(reversed(out))
 
     def _surrogate(self, kind: str, entity: str) -> str:
@@ -172,15 +198,67 @@ class Surrogates:
         return self._format(entity, tweak)
 
     def entities(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(start, end, type) of each entity, in order."""
-        for found in _PATTERN.finditer(text):
-            kind = found.lastgroup if found.lastgroup not in ("value", "given") else None
-            kind = kind or ("secret" if found["secret"] else "name")
+        """(start, end, type) of each entity, in order: also later and earlier mentions of a titled name."""
+        found = list(self._found(text))
+        kinds: dict[str, str] = {}
+        for start, end, kind in found:
+            if kind.startswith("name-"):
+                name = text[start:end]
+                if kinds.get(name, "name-n") == "name-n":  # a title with a gender tells more than one without
+                    kinds[name] = kind
+        for name, kind in kinds.items():
+            if kind == "name-n":
+                kinds[name] = next((f"name-{g}" for g, names in _NAMES.items() if name in names), kind)
+        if not kinds:
+            yield from found
+            return
+        at = 0
+        for start, end, kind in [*found, (len(text), len(text), "")]:
+            for word in _WORD.finditer(text, at, start):
+                name = word.group()
+                apart = not text[word.end() : word.end() + 1].isdigit() and text[word.start() - 1 : word.start()] not in ("_", "@")
+                if len(name) > 1 and name in kinds and apart:
+                    yield word.start(), word.end(), kinds[name]
+            if kind:
+                yield start, end, kinds[text[start:end]] if kind.startswith("name-") else kind
+            at = end
+
+    def _name(self, text: str, at: int, gender: str) -> Iterator[tuple[int, int, str]]:
+        """The words of the name that begins at ``at``: a whole run of capitalised words of any script."""
+        words: list[tuple[int, int]] = []
+        while word := _WORD.match(text, at):
+            name, end = word.group(), word.end()
+            caseless = unicodedata.category(name[0]) == "Lo"
+            if name in _TITLES:
+                gender = _TITLES[name] if gender == "n" else gender
+                end += text[end : end + 1] == "."
+            elif name[0].isupper() or name[0].istitle() or (caseless and not words):
+                if text[end : end + 1] in ("@", "_") or re.match(r"\.\w+[@.]|\d", text[end : end + 80]):
+                    break  # an address
+                words.append(word.span())
+            elif name not in _PARTICLES:
+                break
+            gap = _GAP.match(text, end) or (len(name) == 1 and _INITIAL.match(text, end)) or None
+            if not gap or caseless:
+                break
+            at = gap.end()
+        for start, end in words:
+            yield start, end, f"name-{gender}"
+
+    def _found(self, text: str) -> Iterator[tuple[int, int, str]]:
+        at = 0
+        while found := _PATTERN.search(text, at):
+            at = found.end()
+            kind = found.lastgroup if found.lastgroup != "value" else None
+            kind = kind or "secret"
             if kind == "secret":
                 yield found.start("value"), found.end("value"), "secret"
             elif kind == "name":
-                title = found["name"].split(" ")[0].rstrip(".")
-                yield found.start("given"), found.end("given"), f"name-{_TITLES[title]}"
+                title = found["name"].rstrip(" \u00a0")
+                title = title if title in _TITLES else title.rstrip(".")
+                for start, end, name in self._name(text, found.end(), _TITLES[title]):
+                    yield start, end, name
+                    at = end
             elif kind == "ip":
                 if all(int(x) < 256 and str(int(x)) == x for x in found["ip"].split(".")):
                     yield found.start(), found.end(), "ip"

@@ -224,3 +224,17 @@ def test_pruning_skips_blocks():
 
 def test_crc_is_unsigned():
     assert zlib.crc32(b"\xff" * 8) >= 0
+
+
+def test_names_of_several_words_scripts_and_mentions_and_national_phones():
+    make = Surrogates(b"key")
+    text = "Mr John Smith met Frau Anna Müller, Prof. Dr. Petrović, M. Dupont and Mme Curie. Later Smith left; Petrović stayed. Господин Иванов, Κυρία Παππά. 06 12 34 56 78 or 030 1234567."
+    new, found = make.replace(text)
+    names = [old for _, _, kind, old, _ in found if kind.startswith("name-")]
+    assert names == ["John", "Smith", "Anna", "Müller", "Petrović", "Dupont", "Curie", "Smith", "Petrović", "Иванов", "Παππά"]
+    assert all(text[a:b] == old and old not in new and old != made and len(old) == len(made) or old in ("John", "Anna") for a, b, _, old, made in found)
+    assert found[1][4] == found[7][4] and found[4][4] == found[8][4]
+    assert [old for _, _, kind, old, _ in found if kind == "phone"] == ["06 12 34 56 78", "030 1234567"]
+    assert all("Ѐ" <= c <= "ѿ" for c in found[9][4])
+    assert make.replace("Mr a@b.example.com")[1][0][2] == "email"
+    assert [x[3] for x in make.replace("Mr John.Smith@b.example.com wrote")[1]] == ["John.Smith@b.example.com"]
