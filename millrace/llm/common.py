@@ -10,6 +10,8 @@ __all__ = ["BATCH_ROWS", "delete", "discard", "new_path", "release", "shared_dir
 
 #: Rows of an Arrow batch; with whole texts in them, batches of Spark's default size could outgrow a worker.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, so that very long texts make small batches.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +25,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str((1 << 31) - 1)).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

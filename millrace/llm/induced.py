@@ -28,6 +28,8 @@ import numpy as np
 
 SEPARATOR, SENTINEL = 1, 0
 _TOP = 258
+#: Bytes of tuples that a queue holds before older runs go to disk; a shard of 4 MB has about 20 MB of them.
+QUEUE_BYTES = 2 << 20
 
 
 class Queues:
@@ -222,7 +224,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rise[np.minimum.accumulate(at[::-1])[::-1]]
 
 
-def sorted_suffixes(text: np.ndarray, cap: int, memory_bytes: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_suffixes(text: np.ndarray, cap: int, memory_bytes: int = QUEUE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The suffixes of ``text`` by buckets in falling order.
 
     ``text``: symbols below 258 as u16, of which the last is the only ``SENTINEL``.  Yields
@@ -290,8 +292,11 @@ def _rolling_words(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(texts: list[bytes], length: int, memory_bytes: int = 64 << 20) -> list[np.ndarray]:
-    """For each text, which of its windows of ``length`` bytes also start anywhere else in ``texts``."""
+def repeated_windows(texts: list[bytes], length: int, memory_bytes: int = QUEUE_BYTES, counts: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text, which of its windows of ``length`` bytes also start anywhere else in ``texts``.
+
+    With ``counts`` a text stands for so many copies: a suffix that several copies have has an equal neighbour.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     total = int(sizes.sum()) + len(texts) + 1
@@ -303,8 +308,13 @@ def repeated_windows(texts: list[bytes], length: int, memory_bytes: int = 64 <<
     text[keep] = joined.astype(np.uint16) + 2
     text[-1] = SENTINEL
     again = np.zeros(total, bool)
+    if counts is not None:
+        several = np.zeros(total, bool)
+        several[:-1] = np.repeat(counts > 1, sizes + 1)
     for positions, value in sorted_suffixes(text, length, memory_bytes):
         hit = np.flatnonzero(value >= length)
         again[positions[hit]] = True
         again[positions[hit - 1]] = True
+        if counts is not None:
+            again[positions[several[positions]]] = True
     return [again[s : s + max(0, k - length + 1)] for s, k in zip(starts.tolist(), sizes.tolist())]

@@ -164,8 +164,8 @@ def test_repeated_passages(docs, no_docs, monkeypatch, hot):
     for (d, *_), u, gone in zip(TEXTS, units, covered_by(units, 12)):
         left = b" ".join(w for w, g in zip(u, gone) if not g)
         expected[d, len(u), sum(gone), hashlib.sha256(left).hexdigest()] += 1
-    assert bag(substring_words.remove_passages(docs, window=12, gram=4).collect()) == expected
-    full = substring_words.remove_passages(docs, window=12, gram=4, text=True).collect()
+    assert bag(substring_words.remove_passages(docs, window=12).collect()) == expected
+    full = substring_words.remove_passages(docs, window=12, text=True).collect()
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in full)
     assert substring_words.remove_passages(no_docs).count() == 0
 
@@ -195,6 +195,28 @@ def test_queries_for_repeats_over_a_whole_table(spark, monkeypatch, hot):
     assert bag(got.collect()) == Counter((r["doc_id"], *e) for r, e in zip(rows, expected))
 
 
+def test_nothing_is_removed_but_by_the_solvers(spark, monkeypatch):
+    nothing = lambda texts, *more, **named: [np.zeros(0, bool)] * len(texts)
+    monkeypatch.setattr(substring_bytes, "_solve", nothing)
+    monkeypatch.setattr(substring_words, "repeated_windows", nothing)
+    for name in ("op5_suffix_dedup", "op8_substring_dedup"):
+        assert QUERIES[name](spark, SF).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_a_great_many_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"))
+    assert substring_bytes.remove_repeats(rows).where("n_removed = n_bytes and n_spans = 1").count() == 5000 - 5000 * (len(text) < 200)
+    assert substring_words.remove_passages(rows).where("n_removed = 50").count() == 5000
+
+
+def test_one_very_long_text(spark):
+    text = " ".join(f"w{i % 70000}" for i in range(300_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert substring_words.remove_passages(rows).first()["n_removed"] == 300_000
+    assert substring_bytes.remove_repeats(rows).first()["n_removed"] == len(text)
+
+
 def slow_print(text, words=3):
     found = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     shingles = [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([" ".join(found)] if found else [])

@@ -9,11 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import induced, substring_words
+from millrace.llm import induced, repeats, substring_bytes, substring_words
 from millrace.llm.language_id import ORDER, SYMBOLS, Model, code_lengths
 from millrace.llm.mixing import pattern, shares
 from millrace.llm.packing import Plan, column_generation, price
-from millrace.llm.repeats import Units, anchors, covered
 from millrace.llm.simhash import BKTree, fingerprint
 from millrace.llm.surrogates import Permuter, Surrogates, luhn
 from millrace.llm.token_files import TokenFile, encode_file
@@ -128,22 +127,50 @@ def test_suffixes_come_in_falling_order_with_their_common_prefixes(text, cap):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=5), st.integers(1, 7))
 def test_fixed_blocks_find_all_repeated_passages(texts, window):
-    got = substring_words.repeated_windows([" ".join(t).encode() for t in texts], window)
-    assert [x.tolist() for x in got] == brute([tuple(t) for t in texts], window)
+    data, sizes = substring_words._join([" ".join(t) for t in texts])
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends = substring_words.word_bounds(raw)
+    seg = substring_words.stretches(window, (window + 1) // 2)(raw, sizes, lambda hashes: np.ones(len(hashes), bool))
+    cut = [data[starts[p] : ends[p + n + window - 2]] for p, n in zip(seg.place.tolist(), seg.n.tolist())]
+    groups = np.unique(seg.hash, return_inverse=True)[1]
+    flags = substring_words.repeated_windows(cut, np.ones(len(cut), int), seg.offset, groups, window) if cut else []
+    again = set()
+    for p, found in zip(seg.place.tolist(), flags):
+        again.update((np.flatnonzero(found) + p).tolist())
+    at, got = 0, []
+    for t in texts:
+        got.append([at + i in again for i in range(len(t) - window + 1)])
+        at += len(t)
+    assert got == brute([tuple(t) for t in texts], window)
 
 
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(3)
-    units = Units(20, 6, lambda t: t.encode(), None, induced.repeated_windows)
     passage = "".join(rng.choices("abcd", k=60))
     whole = "".join(rng.choices("abcd", k=500)) + passage + "".join(rng.choices("abcd", k=300)) + passage + "x" * 100
     by_window = {}
-    h, p, n = anchors(whole.encode(), units)
-    assert n.sum() == len(whole) - 20 + 1
-    for anchor, first, many in zip(h.tolist(), p.tolist(), n.tolist()):
-        for i in range(first, first + many):
-            assert by_window.setdefault(whole[i : i + 20], anchor) == anchor
-    assert covered(None, 5) == []
+    for size in (1 << 21, 100):
+        seg = substring_bytes.anchors(20, 6, size)(np.frombuffer(whole.encode(), np.uint8), np.array([400, len(whole) - 400]))
+        assert seg.n.sum() == len(whole) - 2 * 20 + 2
+        for place, n, offset, anchor in zip(*(x.tolist() for x in (seg.place, seg.n, seg.offset, seg.hash))):
+            for i in range(place, place + n):
+                assert by_window.setdefault(whole[i : i + 20], (anchor, offset - (i - place))) == (anchor, offset - (i - place))
+    assert not repeats.covered(5, None, None, None, 3).any()
+    flags = np.array([1, 1, 1, 0, 1], bool)
+    assert [x.tolist() for x in repeats.spans_of(flags, np.array([0, 2, 0, 3]))] == [[1, 3, 3], [0, 0, 2], [2, 1, 3]]
+
+
+def test_queues_go_to_disk_in_a_shard_of_the_query(monkeypatch):
+    spilled = []
+    spill = induced.Queues._spill
+    monkeypatch.setattr(induced.Queues, "_spill", lambda self: (spilled.append(1), spill(self)))
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(97, 122, 350, np.uint8).tobytes() for _ in range(repeats.SHARD_BYTES // 350)]
+    texts[5] = texts[9]
+    got = induced.repeated_windows(texts, 200, counts=np.arange(len(texts)) // 7 % 2 * 3)
+    assert spilled
+    for i, found in enumerate(got):
+        assert found.all() == (i in (5, 9) or i // 7 % 2 == 1) and found.any() == found.all()
 
 
 def test_bk_tree_links_are_those_within_the_radius():
