@@ -10,6 +10,8 @@ from array import array
 
 #: Texts that are worked on at once.
 _TEXTS = 1000
+#: Words whose ids a worker keeps.
+MEMO_WORDS = 160_000
 _TWO_SPACES = re.compile(r"\s\s")
 _LONE_STOP = re.compile("[.,](?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,])")
 #: What byte-level pre-tokenisers keep in one piece, perhaps before a second piece of ASCII signs.
@@ -40,22 +42,23 @@ class MemoEncoder:
     front of each blank or line end into pieces that encode independently.  A text that
     has such a pair (or a NUL, which serves as the cut mark) is encoded in one piece.
     Where every full stop and comma follows a plain letter or digit, those are cuts too.
-    The memo holds at most ``memo_words`` words; later words are encoded anew each time.
+    The memo holds at most ``memo_words`` words (some 200 bytes each); later words are encoded anew each time.
     Words of letters alone go to the model of the vocabulary without a pre-tokeniser, which
     is the same for them and takes half the time.
     Ids come back as little-endian unsigned integers of ``width`` bytes.
     """
 
-    def __init__(self, path: str, memo_words: int = 500_000):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self._tokenizer.to_str())
-        self._bare = None
-        if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["normalizer"] and not spec["pre_tokenizer"]["add_prefix_space"]:
-            spec["pre_tokenizer"], spec["added_tokens"], spec["post_processor"] = None, [], None
-            self._bare = Tokenizer.from_str(json.dumps(spec))
+        self._split = self._tokenizer.pre_tokenizer
+        #: Whether words of letters can go to the model without the pre-tokeniser, which is taken off meanwhile.
+        self._bare = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["normalizer"] and not spec["pre_tokenizer"]["add_prefix_space"]
+        if self._bare:
+            self._bare = not any(t["content"].isalpha() for t in spec["added_tokens"])
             self._letters = _byte_letters()
             del self._letters[10]  # line ends part the words that are mapped together
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -65,7 +68,7 @@ class MemoEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words that stand between two cuts."""
-        if self._bare is None:
+        if not self._bare:
             return self._pack(words)
         pieces, others, ends = [], [], {}
         signed: list[tuple[int, str]] = []
@@ -82,7 +85,7 @@ class MemoEncoder:
                 signed.append((i, signs))
                 ends[signs] = b""
         mapped = "\n".join(pieces).encode().decode("latin-1").translate(self._letters).split("\n") if pieces else []
-        for i, ids in zip(at, self._pack(mapped, self._bare)):
+        for i, ids in zip(at, self._pack(mapped, bare=True)):
             out[i] = ids
         ends = dict(zip(ends, self._pack(list(ends))))
         for i, signs in signed:
@@ -91,9 +94,17 @@ class MemoEncoder:
             out[i] = ids
         return out
 
-    def _pack(self, texts: list[str], tokenizer=None) -> list[bytes]:
+    def _pack(self, texts: list[str], bare: bool = False) -> list[bytes]:
+        if not texts:
+            return []
         kind = "H" if self.width == 2 else "I"
-        done = (tokenizer or self._tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        if bare:
+            self._tokenizer.pre_tokenizer = None
+        try:
+            done = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        finally:
+            if bare:
+                self._tokenizer.pre_tokenizer = self._split
         packed = [array(kind, x.ids) for x in done]
         if sys.byteorder == "big":
             for x in packed:
@@ -141,11 +152,12 @@ class MemoEncoder:
         found = list(map(self._memo.get, distinct))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            room = len(self._memo) + len(missing) <= self._room
+            room = self._room - len(self._memo)
             for i, ids in zip(missing, self._words([distinct[i][:-1].decode() for i in missing])):
                 found[i] = ids
-                if room:
+                if room > 0:
                     self._memo[distinct[i]] = ids
+                    room -= 1
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
         index = words.indices.to_numpy()
@@ -156,7 +168,7 @@ class MemoEncoder:
         return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
-def encoder(path: str, memo_words: int = 500_000) -> MemoEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> MemoEncoder:
     """The encoder of this Python worker, loaded once."""
     key = (path, memo_words)
     if key not in _ENCODERS:
