@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import delete, discard, new_path, release, shared_dir, stored, tracked
+from ..plans.storage import delete, discard, new_path, shared_dir, stored, tracked
 
-__all__ = ["BATCH_ROWS", "delete", "discard", "new_path", "release", "shared_dir", "small_batches", "stored", "table", "tracked"]
+__all__ = ["BATCH_ROWS", "delete", "discard", "new_path", "shared_dir", "small_batches", "stored", "table", "tracked"]
 
 #: Rows of an Arrow batch; with whole texts in them, batches of Spark's default size could outgrow a worker.
 BATCH_ROWS = 1000

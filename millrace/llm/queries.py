@@ -7,8 +7,8 @@ from .language_id import op7_language_id
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op1_packing
 from .simhash import op6_simhash
-from .substring_bytes import op5_suffix_dedup
-from .substring_words import op8_substring_dedup
+from .substring_bytes import OP5_SQL, op5_suffix_dedup
+from .substring_words import OP8_SQL, op8_substring_dedup
 from .surrogates import op3_surrogates
 from .token_files import op4_token_files
 from .topk import OP10_SQL, op10_top_k
@@ -28,6 +28,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op9_mixing": OP9_SQL,
     "op10_top_k": OP10_SQL,
 }

@@ -541,11 +541,9 @@ def repeated(
     chunks = common.stored(rows.mapInArrow(_chunk(units, chunk_bytes), _CHUNKS), "chunks")
     twice, buckets = census(chunks, units)
     twice = common.stored(twice, "twice")
-    common.release(spark)
     given = chunks.select("chunk", "sizes", "data", "places", "hashes").join(twice, "chunk")
     segs = common.stored(given.mapInArrow(_segment(units, buckets), _SEGMENTS), "segments")
     common.discard(twice)
-    common.release(spark)
     listed = segs.where("content is not null")
     with common.tracked() as scratch:
         kinds = listed.groupBy("k1", "k2", "c1", "c2", "a", "n", "content").agg(F.sum("c").alias("c"))
@@ -556,13 +554,11 @@ def repeated(
     solved = common.stored(solved, "repeats")
     for path in scratch:
         common.delete(spark, path)
-    common.release(spark)
     found = listed.select("chunk", "c1", "c2").join(solved, ["c1", "c2"])
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("c1", "c2", "runs")).alias("found"))
     places = segs.where("content is null").select("chunk", F.col("places").alias("at"), "digests")
     found = common.stored(found.join(places, "chunk"), "found")
     common.discard(segs, solved)
-    common.release(spark)
     return chunks.select("chunk", "ids", "sizes", "data").join(found, "chunk", "left").select("ids", "sizes", "data", "at", "digests", "found")
 
 

@@ -93,3 +93,25 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, t
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeats of 200 bytes over all ``documents``."""
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+#: Strings of 200 bytes by their digests; texts are cut into pieces first, since a place in a short string is found faster.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (
+  SELECT r, k, substr(h, 2 * k + 1, 2 * (64 + 199)) AS s, least(64, length(h) // 2 - k) AS n
+  FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - 1, 64)) AS k FROM d)),
+byte AS (SELECT r, k + i AS p, substr(s, 2 * i + 1, 2) AS b, substr(s, 2 * i + 1, 400) AS w FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM part)),
+win AS (SELECT r, p, b, CASE WHEN length(w) = 400 THEN md5_number(w) END AS w FROM byte),
+twice AS (SELECT w FROM win WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+marked AS (
+  SELECT r, p, b, max(t.w IS NOT NULL) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone
+  FROM win LEFT JOIN twice t ON t.w = win.w),
+runs AS (SELECT r, p, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM marked),
+made AS (
+  SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN made USING (r)
+"""

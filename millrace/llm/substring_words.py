@@ -184,3 +184,22 @@ def remove_passages(docs: DataFrame, *, window: int = WINDOW, text: bool = False
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeats of 35 words over all ``documents``."""
     return remove_passages(common.table(spark, sf_dir, "documents"))
+
+
+#: Windows of 35 words as strings; no word holds a blank.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+word AS (SELECT r, unnest(generate_series(1, len(words))) AS p, unnest(words) AS w FROM d),
+win AS (
+  SELECT r, p, w, CASE WHEN count(*) OVER s = 35 THEN md5_number(string_agg(w, ' ') OVER s) END AS k FROM word
+  WINDOW s AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+twice AS (SELECT k FROM win WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+marked AS (
+  SELECT r, p, w, max(t.k IS NOT NULL) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM win LEFT JOIN twice t ON t.k = win.k),
+made AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN made USING (r)
+"""
