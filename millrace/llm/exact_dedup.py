@@ -10,7 +10,8 @@ Counting a round's groups pre-aggregates on the map side, so a group of copies t
 a third of all rows sends one row per task; telling the rows their group is a join, whose
 hot keys adaptive execution splits.  Each round is stored in the shared folder.
 
-Defined edge cases: null counts as empty; all empty texts are one group; among rows with
+Defined edge cases: null counts as empty; all empty texts are one group; very long texts
+take one more round for every sixteenfold length; among rows with
 the same longest text and id (repeated rows) the first in the stored order stays, so one
 row of a group is kept in any case; null document ids sort last; an empty table gives an
 empty result; other columns are ignored.
@@ -65,8 +66,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     closed, start, run, level = [], 0, FIRST, 0
     while True:
         stop = start + run
-        # the last run of a text is the rest of it; a group's members have the same number of bytes
-        keyed = open_.withColumn("digits", F.expr(f"substring(data, {start + 1}, {run})"))
+        # the last run of a text is the rest of it; a group's members have the same number of bytes; bytes that were compared are gone
+        keyed = open_.withColumn("digits", F.expr(f"substring(data, 1, {run})"))
         best = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
         groups = keyed.groupBy("group", "digits").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
         # a group's number: taken once the table is stored, so that it never changes
@@ -74,14 +75,13 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         joined = keyed.join(groups.withColumn("next", F.monotonically_increasing_id()), ["group", "digits"])
         ended = (F.col("group_size") == 1) | (F.col("n_bytes") <= stop)
         joined = joined.select(
-            "doc_id", "n_chars", "row", "n_bytes", F.when(~ended, F.col("data")).alias("data"), "text_sha256", "group_size",
+            "doc_id", "n_chars", "row", "n_bytes", F.when(~ended, F.expr(f"substring(data, {run + 1})")).alias("data"), "text_sha256", "group_size",
             F.col("best.d").alias("keep_id"), (F.col("best.r") == F.col("row")).alias("kept"), F.col("next").alias("group"), ended.alias("ended"),
         )
         level += 1
         done = common.stored(joined, f"radix-{level}")
         # of a finished round only the closed rows are read again, and their texts are gone
         common.discard(groups, *([table] if level == 1 else []))
-        common.release(docs.sparkSession)
         closed.append(done.where("ended").select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
         open_ = done.where("not ended").select("doc_id", "n_chars", "row", "n_bytes", "data", "text_sha256", "group")
         if open_.limit(1).count() == 0:
