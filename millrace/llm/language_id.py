@@ -1,22 +1,22 @@
 """Language identification by prediction by partial matching.
 
-Per language a context tree of orders 0 to 3 over case-folded bytes holds how often each
-symbol followed each context.  With its counts frozen, a symbol's code length in a context
-is that of PPM with escape method C and full exclusion: a symbol seen there costs
-``-log2(c / (n + q))``, any other the escape ``-log2(q / (n + q))`` plus its cost in the
-next shorter context among the symbols not excluded yet.  A text's language is the one
-whose tree codes the whole text in the fewest bits.
-
-Symbols: one for everything that is neither an ASCII letter nor a high byte, the 26
-letters, the twenty commonest high bytes of the training texts, and one for other bytes.
-The trees are learned from all labelled rows (nothing is sampled); a language's counts
-number at most 48**4, so what comes to the driver depends on the number of languages and
-not on the corpus.  More than ``MAX_LANGUAGES`` labels raise an error.
+Per language a context tree of orders 0 to 3 over all 256 byte values holds how often each
+byte followed each context.  With its counts frozen, a byte's code length in a context is
+that of escape method C: a byte seen there costs ``-log2(c / (n + q))``, any other the
+escape ``-log2(q / (n + q))`` plus its cost in the next shorter context, down to eight bits
+where nothing is known; a context that was never seen costs nothing to leave.  A text's
+language is the one whose tree codes the whole text in the fewest bits.
+
+The trees are learned from all labelled rows (nothing is sampled), and their counts are
+whole numbers throughout.  They are sparse: what comes to the driver are the different
+runs of four bytes in all languages, which a corpus stops adding to; their number is
+counted first, and trees over ``max_model_bytes`` raise an error instead of being sent out.
 
 Defined edge cases: ``und`` with score 0 for null texts, texts without a letter, and all
-texts if nothing could be learned; equal code lengths go to the first label in order; a
-null document id is not held out; repeated rows count as often as they occur; an empty
-table gives an empty result; other columns are ignored.
+texts if nothing could be learned; equal code lengths go to the first label in order; very
+long texts are coded in slices whose lengths add up; a null document id is not held out;
+repeated rows count as often as they occur; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,103 +31,124 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SYMBOLS = 48
 ORDER = 3
-HIGH = 20
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: Largest compiled model that is sent to the executors.
+MAX_MODEL_BYTES = 256 << 20
 #: Bytes that are scored at once.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
+_ODD = np.uint32(0x9E3779B1)
 
 
-def symbol_table(high: list[int]) -> np.ndarray:
-    """Byte to symbol: ``high`` are the high bytes with symbols of their own."""
-    table = np.zeros(256, np.uint8)
-    for i in range(26):
-        table[65 + i] = table[97 + i] = 1 + i
-    table[128:] = SYMBOLS - 1
-    for i, b in enumerate(high[:HIGH]):
-        table[b] = 27 + i
-    return table
-
-
-def _windows(symbols: np.ndarray) -> np.ndarray:
-    """The number of each run of ORDER + 1 symbols."""
-    s = symbols.astype(np.int32)
-    return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
-
-
-#: Contexts whose code lengths are worked out at once.
-_CONTEXTS = 1 << 13
-
-
-def code_lengths(counts: np.ndarray, used: np.ndarray | None = None) -> list[np.ndarray]:
-    """Bits of each symbol in each context of order 0, 1, 2 and (of the contexts ``used``, or all) 3.
-
-    ``counts`` has one axis for each of the four symbols.
-    """
-    by_order = [counts.sum(axis=tuple(range(ORDER - k))).reshape(-1, SYMBOLS) for k in range(ORDER + 1)]
-    out: list[np.ndarray] = []
-    shorter = np.full((1, SYMBOLS), 1.0 / SYMBOLS)  # order -1: nothing is known
-    escaped = shorter  # probabilities in the shorter context once this context's symbols are excluded
-    for k, c in enumerate(by_order):
-        rows = np.arange(len(c)) if k < ORDER or used is None else np.flatnonzero(used)
-        below = by_order[k - 1] if k else None
-        parts = [_coded(c, rows[i : i + _CONTEXTS], below, shorter, escaped) for i in range(0, len(rows), _CONTEXTS)]
-        last = k == ORDER
-        shorter = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, SYMBOLS))
-        escaped = None if last else np.concatenate([e for _, e in parts])
-        out.append(-np.log2(np.maximum(shorter, 1e-300)))
-    return out
-
-
-def _coded(counts: np.ndarray, rows: np.ndarray, below: np.ndarray | None, shorter: np.ndarray, escaped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities in the contexts ``rows``, and those after an escape from them."""
-    c = counts[rows].astype(np.float64)
-    seen = c > 0
-    kinds = seen.sum(axis=1, keepdims=True)
-    if below is None:
-        now = np.broadcast_to(1.0 / np.maximum(SYMBOLS - kinds, 1), c.shape)
-    else:
-        suffix = rows % len(below)  # a context's suffix: its number modulo
-        under = below[suffix].astype(np.float64)
-        seen_under = under > 0
-        free = np.where(seen, 0.0, under)
-        n, q = free.sum(axis=1, keepdims=True), (free > 0).sum(axis=1, keepdims=True)
-        q = np.where(seen_under.all(axis=1, keepdims=True), 0, q)
-        deeper, total = escaped[suffix], np.maximum(n + q, 1)
-        now = np.where(n == 0, deeper, np.where(seen_under, free / total, q / total * deeper))
-    n, q = c.sum(axis=1, keepdims=True), np.where(kinds == SYMBOLS, 0, kinds)
-    total = np.maximum(n + q, 1)
-    less = shorter[rows % len(shorter)]
-    return np.where(n == 0, less, np.where(seen, c / total, q / total * now)), now
+def windows(data: bytes) -> np.ndarray:
+    """Each run of four bytes as a number, the first byte lowest: the context and, on top, the byte that follows."""
+    return np.ndarray((max(0, len(data) - ORDER),), "<u4", data, 0, (1,))
+
+
+class Index:
+    """Finds distinct u32 keys in whole arrays; ``order`` is how the keys are to be laid out."""
+
+    def __init__(self, keys: np.ndarray):
+        hashed = keys.astype(np.uint32) * _ODD  # odd: no two keys meet
+        self.order = np.argsort(hashed, kind="stable")
+        self._hashed = np.append(hashed[self.order], np.uint32(0xFFFFFFFF))
+        bits = max(1, min(24, len(keys).bit_length()))
+        self._shift = np.uint32(32 - bits)
+        self._first = np.searchsorted(self._hashed[:-1], np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is laid out, or -1."""
+        hashed = keys * _ODD
+        at = self._first[hashed >> self._shift]
+        here = self._hashed[at]
+        todo = np.flatnonzero(here < hashed)
+        while len(todo):
+            at[todo] += 1
+            here[todo] = self._hashed[at[todo]]
+            todo = todo[here[todo] < hashed[todo]]
+        at[(here != hashed) | (at == len(self._hashed) - 1)] = -1
+        return at
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their total and how many entries they had."""
+    kinds, index, entries = np.unique(keys, return_inverse=True, return_counts=True)
+    total = np.zeros(len(kinds), np.int64)
+    np.add.at(total, index, n)
+    return kinds, total, entries
+
+
+def _at(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of keys among the sorted known ones; 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys), values.dtype)
+    i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[i] == keys, values[i], 0)
+
+
+def _coded(c: np.ndarray, n: np.ndarray, q: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of bytes with ``c`` of a context's ``n`` counts and ``q`` kinds, given those in the shorter context; bits of the escape."""
+    escape = np.where(n > 0, np.log2(np.maximum(n + q, 1) / np.maximum(q, 1)), 0.0)
+    return np.where(c > 0, np.log2(np.maximum(n + q, 1) / np.maximum(c, 1)), escape + shorter), escape
 
 
 class Model:
-    """Frozen trees of several languages, compiled to one table of code lengths by context."""
+    """Frozen trees of several languages, compiled to code lengths by run of bytes."""
 
-    def __init__(self, high: list[int], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """``grams``: per language the different runs of four bytes, in rising order, and their numbers."""
         self.languages = sorted(grams)
-        self.table = symbol_table(high)
-        contexts = SYMBOLS**ORDER
-        used = np.zeros(contexts, bool)
-        for keys, _ in grams.values():
-            used[keys // SYMBOLS] = True
-        # contexts that no language has seen go to their suffix of order 2, whose rows come first
-        self.row = (np.arange(contexts) % SYMBOLS**2).astype(np.int32)
-        self.row[used] = SYMBOLS**2 + np.arange(used.sum())
-        self.bits = np.zeros((SYMBOLS**2 + int(used.sum()), SYMBOLS, len(self.languages)), np.float32)
+        every = [grams[x][0].astype(np.uint32) for x in self.languages]
+        four = np.unique(np.concatenate([*every, np.zeros(0, np.uint32)]))
+        three, contexts = np.unique(four >> np.uint32(8)), np.unique(four & np.uint32(0xFFFFFF))
+        self._four, self._three, self._contexts = Index(four), Index(three), Index(contexts)
+        many = len(self.languages)
+        self._bits1, self._escape2 = np.zeros((1 << 16, many), np.float32), np.zeros((1 << 16, many), np.float32)
+        self._bits2, self._bits3 = np.zeros((len(three), many), np.float32), np.zeros((len(four), many), np.float32)
+        self._escape3 = np.zeros((len(contexts), many), np.float32)
         for i, language in enumerate(self.languages):
-            keys, n = grams[language]
-            counts = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-            counts[keys] = n
-            bits = code_lengths(counts.reshape([SYMBOLS] * (ORDER + 1)), used)
-            self.bits[: SYMBOLS**2, :, i] = bits[2]
-            self.bits[SYMBOLS**2 :, :, i] = bits[3]
+            keys, n = grams[language][0].astype(np.uint32), grams[language][1].astype(np.int64)
+            c0 = np.zeros(256, np.int64)
+            np.add.at(c0, keys >> np.uint32(24), n)
+            bits0, _ = _coded(c0, c0.sum(), (c0 > 0).sum(), np.full(256, 8.0))
+            c1 = np.zeros(1 << 16, np.int64)  # the context is the low byte
+            np.add.at(c1, keys >> np.uint32(16), n)
+            context, byte = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+            n1, q1 = c1.reshape(256, 256).sum(0), (c1 > 0).reshape(256, 256).sum(0)
+            bits1, _ = _coded(c1, n1[context], q1[context], bits0[byte])
+            mine, c2, _ = _sums(keys >> np.uint32(8), n)
+            n2, q2 = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+            np.add.at(n2, mine & np.uint32(0xFFFF), c2)
+            np.add.at(q2, mine & np.uint32(0xFFFF), 1)
+            _, escape2 = _coded(np.zeros(1 << 16), n2, q2, np.zeros(1 << 16))
+            under = three & np.uint32(0xFFFF)
+            bits2, _ = _coded(_at(three, mine, c2), n2[under], q2[under], bits1[three >> np.uint32(8)])
+            known, n3, q3 = _sums(keys & np.uint32(0xFFFFFF), n)
+            _, escape3 = _coded(np.zeros(len(contexts)), _at(contexts, known, n3), _at(contexts, known, q3), np.zeros(len(contexts)))
+            over = four & np.uint32(0xFFFFFF)
+            bits3, _ = _coded(_at(four, keys, n), _at(over, known, n3), _at(over, known, q3), bits2[np.searchsorted(three, four >> np.uint32(8))])
+            self._bits1[:, i], self._escape2[:, i] = bits1, escape2
+            self._bits2[:, i], self._bits3[:, i], self._escape3[:, i] = bits2[self._three.order], bits3[self._four.order], escape3[self._contexts.order]
+
+    def _lengths(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of each run's last byte under each language."""
+        at = self._four.find(keys)
+        out = self._bits3[np.maximum(at, 0)] if len(self._bits3) else np.zeros((len(keys), len(self.languages)), np.float32)
+        new = np.flatnonzero(at < 0)  # no language has this run
+        if len(new):
+            some = keys[new]
+            shorter = some >> np.uint32(8)
+            at = self._three.find(shorter)
+            bits = self._escape2[shorter & np.uint32(0xFFFF)] + self._bits1[shorter >> np.uint32(8)]
+            bits[at >= 0] = self._bits2[at[at >= 0]]
+            at = self._contexts.find(some & np.uint32(0xFFFFFF))
+            bits[at >= 0] += self._escape3[at[at >= 0]]
+            out[new] = bits
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text under each language."""
+        """Code length of each text, none of them empty, under each language; three blanks come before a text."""
         out = np.zeros((len(texts), len(self.languages)))
         batch: list[int] = []
         size = 0
@@ -147,15 +168,8 @@ class Model:
         return out
 
     def _score(self, texts: list[bytes]) -> np.ndarray:
-        symbols = self.table[np.frombuffer(b"".join(texts), np.uint8)]
-        sizes = np.array([len(x) for x in texts])
-        if len(symbols) <= ORDER:
-            return np.zeros((len(texts), len(self.languages)))
-        window = _windows(symbols)
-        bits = self.bits[self.row[window // SYMBOLS], window % SYMBOLS]
-        starts = np.cumsum(sizes) - sizes
-        total = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-        return total[starts + sizes - ORDER] - total[starts]
+        keys, sizes = _own_windows(texts)
+        return np.add.reduceat(self._lengths(keys), np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Label and score (the posterior of the label under equal priors) of each text."""
@@ -170,49 +184,47 @@ class Model:
         return names, scores
 
 
-def _high_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(256, np.int64)
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            if not text.isascii():
-                counts += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-    at = np.flatnonzero(counts[128:]) + 128
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["byte", "n"])
+def _own_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of texts that ``ORDER`` bytes of context lead, without those over an end, and how many each has."""
+    sizes = np.array([len(x) - ORDER for x in texts])
+    keys = windows(b"".join(texts))
+    ends = np.cumsum(sizes + ORDER)[:-1]
+    keep = np.ones(len(keys), bool)
+    for k in range(ORDER):
+        keep[ends - ORDER + k] = False
+    return keys[keep], sizes
 
 
-def _grams(table: np.ndarray):
-    def emit(language: str, counts: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "gram", "n"]
-        )
+#: Different runs of four bytes that a worker holds before it passes them on.
+_HELD = 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def emit(language: str) -> pa.RecordBatch:
+        keys, n = held.pop(language)
+        return pa.RecordBatch.from_arrays([pa.array([language] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    for batch in batches:
+        by: dict[str, list[bytes]] = {}
+        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text:
                 by.setdefault(language, []).append(b" " * ORDER + text.encode())
-            for language, texts in by.items():
-                if language not in held:
-                    if len(held) >= 8:  # a worker holds few languages at a time
-                        for x in list(held):
-                            yield emit(x, held.pop(x))
-                    held[language] = np.zeros(SYMBOLS ** (ORDER + 1), np.int32)
-                for at in range(0, len(texts), 200):
-                    symbols = table[np.frombuffer(b"".join(texts[at : at + 200]), np.uint8)]
-                    window = _windows(symbols)
-                    # a window that ends on the blanks put before a text is not the text's
-                    ends = np.cumsum([len(x) for x in texts[at : at + 200]])[:-1]
-                    keep = np.ones(len(window), bool)
-                    for k in range(ORDER):
-                        keep[ends - ORDER + k] = False
-                    keys, n = np.unique(window[keep], return_counts=True)
-                    held[language][keys] += n.astype(np.int32)
-        for language, counts in held.items():
-            yield emit(language, counts)
-
-    return run
+        for language, texts in by.items():
+            keys, n = np.unique(_own_windows(texts)[0], return_counts=True)
+            if language in held:
+                more = held[language]
+                keys, index = np.unique(np.concatenate([more[0], keys]), return_inverse=True)
+                both = np.concatenate([more[1], n])
+                n = np.zeros(len(keys), np.int64)
+                np.add.at(n, index, both)
+            held[language] = keys, n
+        if sum(len(k) for k, _ in held.values()) > _HELD:
+            for language in list(held):
+                yield emit(language)
+    for language in list(held):
+        yield emit(language)
 
 
 def held_out(id_col: str) -> Column:
@@ -220,23 +232,24 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_model_bytes: int = MAX_MODEL_BYTES) -> Model:
     """Learn a tree for each label from all rows with a text and a label."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     common.small_batches(rows.sparkSession)
-    seen = rows.mapInArrow(_high_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
-    high = [r["byte"] for r in seen.orderBy(F.desc("n"), "byte").limit(HIGH).collect()]
-    counts = rows.mapInArrow(_grams(symbol_table(high)), "lang string, gram int, n long")
+    counts = rows.mapInArrow(_grams, "lang string, gram long, n long")
     counts = common.stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    languages = [r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = counts.groupBy("lang").agg(F.count("*").alias("c")).orderBy("lang")
+    rows, names = counts.select("gram").distinct().count(), languages.limit(1 << 16).select("lang").toArrow().column(0).to_pylist()
+    # runs of four bytes, those of three and the contexts, no more of each; two dense tables
+    size = (3 * rows + (1 << 17)) * 4 * len(names) + 24 * rows
+    if size > max_model_bytes:
+        raise ValueError(f"{rows} runs of bytes in {len(names)} languages make a model of {size >> 20} MB")
     grams = {}
-    for language in languages:
-        got = counts.where(F.col("lang") == language).select("gram", "n").toArrow()
+    for language in names:
+        got = counts.where(F.col("lang") == language).select("gram", "n").orderBy("gram").toArrow()
         grams[language] = (got.column(0).to_numpy(), got.column(1).to_numpy())
     common.discard(counts)
-    return Model(high, grams)
+    return Model(grams)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:

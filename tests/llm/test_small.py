@@ -1,6 +1,7 @@
 """Parts of the operators that need no cluster."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,11 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import induced, repeats, substring_bytes, substring_words
-from millrace.llm.language_id import ORDER, SYMBOLS, Model, code_lengths
+from millrace.llm.language_id import Index, Model, windows
 from millrace.llm.mixing import pattern, shares
 from millrace.llm.packing import Plan, column_generation, price
 from millrace.llm.simhash import BKTree, fingerprint
-from millrace.llm.surrogates import Permuter, Surrogates, luhn
+from millrace.llm.surrogates import Permuter, Surrogates, luhn, mod_97
 from millrace.llm.token_files import TokenFile, encode_file
 from millrace.llm.tokens import MemoEncoder, default_vocabulary
 from millrace.llm.topk import search_chunk
@@ -187,17 +188,26 @@ def test_fingerprint_of_few_words():
     assert fingerprint("One two") == fingerprint("ONE\x0btwo ") != 0
 
 
-def test_code_lengths_are_those_of_a_distribution():
-    counts = np.zeros(SYMBOLS ** (ORDER + 1))
+def test_code_lengths_leave_room_for_every_byte():
     rng = np.random.default_rng(2)
-    a, b, c, d = rng.integers(0, 6, (4, 3000))
-    np.add.at(counts, ((a * SYMBOLS + b) * SYMBOLS + c) * SYMBOLS + d, 1)
-    for bits in code_lengths(counts.reshape([SYMBOLS] * (ORDER + 1))):
-        assert np.allclose(np.exp2(-bits).sum(axis=1), 1)
+    model = Model({x: np.unique(windows(rng.integers(0, 6, 3000, np.uint8).tobytes()), return_counts=True) for x in "ab"})
+    for context in ([0, 1, 2], [0, 9, 1], [200, 0, 1], [7, 8, 9]):
+        keys = np.array([context[0] | context[1] << 8 | context[2] << 16 | x << 24 for x in range(256)], np.uint32)
+        assert (np.exp2(-model._lengths(keys).astype(float)).sum(axis=0) <= 1 + 1e-4).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=40), st.lists(st.integers(0, 2**32 - 1), max_size=10))
+def test_index_finds_its_keys(known, others):
+    known = np.unique(np.array(known, np.uint32))
+    index = Index(known)
+    ask = np.concatenate([known, np.array(others, np.uint32)])
+    at = index.find(ask)
+    assert [int(known[index.order[i]]) if i >= 0 else None for i in at] == [int(x) if x in known else None for x in ask]
 
 
 def test_a_model_without_languages_knows_nothing():
-    assert Model([], {}).predict(["text", None]) == (["und", "und"], [0.0, 0.0])
+    assert Model({}).predict(["text", None]) == (["und", "und"], [0.0, 0.0])
 
 
 @settings(max_examples=60, deadline=None)
@@ -265,3 +275,19 @@ def test_names_of_several_words_scripts_and_mentions_and_national_phones():
     assert all("Ѐ" <= c <= "ѿ" for c in found[9][4])
     assert make.replace("Mr a@b.example.com")[1][0][2] == "email"
     assert [x[3] for x in make.replace("Mr John.Smith@b.example.com wrote")[1]] == ["John.Smith@b.example.com"]
+
+
+def test_accounts_keep_their_check_digits_and_addresses_their_groups():
+    make, seen = Surrogates(b"key"), set()
+    for n in range(300):
+        body = f"370400440532013{n:03d}"
+        valid = f"DE{98 - mod_97('DE00' + body):02d}{body}"
+        wrong = f"DE{(98 - mod_97('DE00' + body)) % 97 + 2:02d}{body}"
+        assert mod_97(valid) == 1 != mod_97(wrong)
+        for iban in (valid, wrong):
+            (entity,) = make.replace(f"to {iban}, please")[1]
+            assert entity[2] == "iban" and entity[4][:2] == "DE" and (mod_97(entity[4]) == 1) == (iban == valid)
+            seen.add(entity[4])
+    assert len(seen) == 600
+    text, found = make.replace("from 2001:db8:0:0:1:0:0:ff00 and 12:30:45")
+    assert [e[2] for e in found] == ["ip6"] and re.fullmatch("from [0-9a-f]{4}:[0-9a-f]{3}:(?:[0-9a-f]:){5}[0-9a-f]{4} and 12:30:45", text)
