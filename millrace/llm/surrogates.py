@@ -9,8 +9,8 @@ Surrogates come from keyed permutations, not from draws: each run of same-class
 through a Feistel network with cycle walking over exactly the numbers of that length.  So
 format, script and length stay, and two entities never meet in one surrogate: the map is
 one-to-one on each format, and formats differ where the unchanged symbols do.  Structure
-that carries meaning is kept: separators, country codes, a card's check digit is made
-right again, IPv4 groups stay in range.  Given names after a title map within a list of
+that carries meaning is kept: separators, country codes, the check digits of a card and of
+an international account are made right again, IPv4 groups stay in range.  Given names after a title map within a list of
 names of the same gender and script by a keyed permutation of that list; a name that no
 list has is permuted letter by letter.
 
@@ -18,13 +18,13 @@ Collision checks: each permutation is one cycle (a rotation between a Feistel ne
 its inverse), so no entity is its own surrogate; ``collisions`` counts over a corpus the
 surrogates that stand for several entities, which must be none.
 
-Types: email, phone, card, account (digits like a card's without its check digit), ip,
-iban, name (each word of a run of capitalised words after a
+Types: email, phone, card, account (digits like a card's without its check digit), ip, ip6
+(all eight groups), iban, name (each word of a run of capitalised words after a
 title, and other mentions of these words in the text) and secret (values of password, token, key assignments;
 hexadecimal stays hexadecimal).
 
 Defined edge cases: null text stays null and has no entities; texts without entities
-come back unchanged; repeated rows get equal results; null document ids are kept; an
+come back unchanged; very long texts are worked on whole; repeated rows get equal results; null document ids are kept; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Default key of the registered query; a production run passes its own.
-KEY = b"millrace-surrogates"
+#: A sample, for the registered query only: whoever knows a key can undo its surrogates, so a production run passes a secret one.
+SAMPLE_KEY = b"millrace-surrogates"
 
 _NAMES = {
     "m": "Adam Albert Anton Carlos Daniel David Diego Emil Felix Georg Henri Hugo Jan Javier Johann Jules Karl Louis Lucas Luis Marc Martin Max Miguel Oscar Otto Pablo Paul Pedro Peter Pierre Samuel Simon Thomas Victor Walter".split(),
@@ -62,6 +62,7 @@ _PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{8,}))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<ip6>(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}(?![\w:]))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)(?:[ .-]?\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4}"
@@ -136,7 +137,7 @@ _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 class Surrogates:
     """Entities of a text and their surrogates under a key."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self._permute = Permuter(key)
         self.surrogate = functools.lru_cache(100_000)(self._surrogate)
 
@@ -183,7 +184,17 @@ class Surrogates:
             lead = re.match(r"\+\d{1,3}", entity)
             return self._format(entity, tweak, keep=lead.end() if lead else 0)
         if kind == "iban":
-            return self._format(entity, tweak, keep=2)
+            if mod_97(entity) != 1:  # no valid one: its surrogate is none either
+                while mod_97(entity := self._format(entity, tweak, keep=2)) == 1:
+                    pass
+                return entity
+            changed = self._format(entity, tweak + b"|valid", keep=4)
+            return f"{changed[:2]}{98 - mod_97(changed[:2] + '00' + changed[4:]):02d}{changed[4:]}"
+        if kind == "ip6":
+            digits = entity.replace(":", "")
+            value = self._permute.number(int(digits, 16), 16 ** len(digits), tweak + re.sub("[^:]", "x", entity).encode() + str(digits.isupper()).encode())
+            left = iter(format(value, f"0{len(digits)}{'X' if digits.isupper() else 'x'}"))
+            return "".join(c if c == ":" else next(left) for c in entity)
         if kind == "secret" and _HEX.fullmatch(entity):
             upper = any(c in "ABCDEF" for c in entity)
             value = self._permute.number(int(entity, 16), 16 ** len(entity), tweak + str(len(entity)).encode())
@@ -283,6 +294,12 @@ class Surrogates:
         return "".join([*out, text[at:]]), listed
 
 
+def mod_97(iban: str) -> int:
+    """The remainder of an account number in its international form; 1 if its check digits are right."""
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit is the check digit of the others."""
     total = 0
@@ -295,7 +312,7 @@ def luhn(digits: str) -> bool:
 _ENTITY = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())])
 
 
-def replace_entities(docs: DataFrame, *, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text with surrogates, n_entities, entities (start, end, type, entity, surrogate)."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -327,6 +344,6 @@ def collisions(replaced: DataFrame) -> DataFrame:
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` with surrogates for personal data; the entities as types and places (characters of the old text)."""
-    done = replace_entities(common.table(spark, sf_dir, "documents"))
+    done = replace_entities(common.table(spark, sf_dir, "documents"), key=SAMPLE_KEY)
     place = lambda e: F.concat_ws(":", e["type"], e["start"], e["end"], e["surrogate"])
     return done.select("doc_id", "text", "n_entities", F.array_join(F.transform("entities", place), "\n").alias("entities"))
