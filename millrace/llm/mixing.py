@@ -21,8 +21,9 @@ Target weights are given, or by default the document counts to the power ``alpha
 either way they are rounded to whole shares of ``D`` (largest remainder, at least one
 share each).
 
-Defined edge cases: a null source is a source of its own; rows with null or empty text are
-mixed like others; rows with equal ids take adjacent places; a source without a weight in
+Defined edge cases: a null source is a source of its own; rows with null, empty or very long
+text are mixed like others; rows with equal ids take adjacent places, those without an id
+places by a hash of their content; a source without a weight in
 a given table of weights raises an error, a weight without rows is ignored; an empty table
 mixes to nothing; extra columns are kept by ``mix`` unless their names clash with its own,
 which replace them.
@@ -42,8 +43,8 @@ from . import common
 CYCLE = 1000
 BLOCK_DOCS = 8
 ALPHA = 0.7
-#: Buckets of the digest: the first three hexadecimal digits.
-_DIGITS = 3
+#: Rows of a source that share a bucket of the digest, at most about; a bucket is named by its first hexadecimal digits, three at least.
+BUCKET_ROWS = 100_000
 
 OWN = ("mix_epoch", "mix_block", "mix_slot", "mix_place")
 
@@ -125,12 +126,16 @@ def mix(
     planned = spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("_p"))
     planned = planned.select(F.coalesce(F.concat(F.lit("s"), F.col("_p.s")), F.lit("n")).alias("_t"), F.struct("_p.share", "_p.slots", "_p.blocks", "_p.turns").alias("_plan"))
 
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    # rows without an id go by their content, so that they do not meet in one bucket
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    unnamed = F.concat(F.lit("null"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).cast("string"))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), unnamed).cast("binary"))
+    digits = max(3, len(f"{max(counts.values()) // BUCKET_ROWS:x}"))
     # a row's own columns travel in one, so that no name of theirs meets one of the plan's
     # a source's name with a letter before it, so that null is a key like others and one shuffle serves the ranks and the join
     named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
     rows = docs.select(F.struct("*").alias("_doc"), named(F.col(source_col).cast("string")).alias("_source"), digest.alias("_digest"), F.col(id_col).alias("_id"))
-    rows = rows.withColumn("_bucket", F.substring("_digest", 1, _DIGITS))
+    rows = rows.withColumn("_bucket", F.substring("_digest", 1, digits))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_id")
     buckets = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     below = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
