@@ -10,7 +10,8 @@ corpus, take the places of their length in turn, so an assignment is arithmetic
 what rounding leaves over is laid end to end and cut every ``capacity`` tokens; the last
 stretch is cut at powers of two.  So padding never exceeds ``slack`` per sequence.
 
-Defined edge cases: a null text counts as empty and is the separator alone; repeated rows
+Defined edge cases: a null text counts as empty and is the separator alone; very long texts
+are encoded whole and become many full pieces; repeated rows
 are packed each for itself; null document ids are kept; an empty table packs to nothing;
 other columns are ignored.
 """
@@ -96,7 +97,8 @@ def column_generation(
     A revised simplex with an explicit inverse; its size is the number of distinct lengths,
     so neither time nor memory depends on the number of documents.  It ends when the
     sequences are within ``gap`` of a lower bound (the tokens over the capacity, or that of
-    Farley from the duals), or after ``rounds`` columns.
+    Farley from the duals), or after ``rounds`` columns: a plan that is not near its optimum
+    yet leaves more to be laid end to end, and nothing unpacked.
     """
     lengths = np.array(sorted(x for x, n in demand.items() if n > 0), dtype=np.int64)
     if not len(lengths):

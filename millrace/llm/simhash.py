@@ -21,7 +21,7 @@ share no key once in 200,000 times, unrelated texts do not meet by chance, and o
 that share a key and lie within the radius are linked.  Large shards are cut into bins,
 and every two bins meet once.
 
-Defined edge cases: null and word-less texts have fingerprint zero, which links like any
+Defined edge cases: very long texts are hashed whole; null and word-less texts have fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows share a fingerprint and
 each get a row; null document ids never name a component unless it has no other; an empty
 table gives an empty result; other columns are ignored.
@@ -286,7 +286,6 @@ def near_duplicates(
     classes = common.stored(classes, "fingerprint-classes")
     for path in [*paths, *scratch]:
         common.delete(docs.sparkSession, path)
-    common.release(docs.sparkSession)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     known = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

@@ -13,12 +13,14 @@ documents); then per level its length u64, chunks u8 (padded to 8), and on all b
 last level the bitmap (whole 512-bit blocks) and the directory u64.
 
 Defined edge cases: a null text counts as empty and still gets the end id; null document
-ids come first and are kept as nulls; rows with equal ids follow each other in order of
+ids come first and are kept as nulls; a very long text is whole in one file, which may then hold
+more than its share; rows with equal ids follow each other in order of
 their text; an empty table writes no file and yields no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
 import struct
 import uuid
@@ -140,15 +142,25 @@ class TokenFile:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: What Spark's readers call some file systems, and their names here.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _write(folder: str, name: str, data: bytes) -> None:
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(folder)
+    scheme, colon, rest = folder.partition("://")
+    where, path = fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
     where.create_dir(path, recursive=True)
     draft = f"{path}/_draft-{uuid.uuid4().hex}"
-    with where.open_output_stream(draft) as out:
-        out.write(data)
-    where.move(draft, f"{path}/{name}")  # a task that runs twice leaves the same file
+    try:
+        with where.open_output_stream(draft) as out:
+            out.write(data)
+        where.move(draft, f"{path}/{name}")  # a task that runs twice leaves the same file
+    except BaseException:
+        with contextlib.suppress(OSError):
+            where.delete_file(draft)
+        raise
 
 
 _MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
