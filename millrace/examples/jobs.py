@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.monoids import AVERAGE, LIST, SUM
+from ..functions.monoids import AVERAGE, LIST, SET_UNION, SUM, product
 from ..functions.text import split_words, split_words_py
-from ..operators.flow import Flow
+from ..operators.flow import Flow, Pool
 
 
 def word_count() -> Flow:
@@ -41,11 +41,92 @@ def linear_road() -> Flow:
     return flow
 
 
-def mapped_lengths(users: str = "transactions", customers: str = "customers") -> Flow:
-    """Pools joined on a key: ``joined`` has a pair for every change of either side."""
+#: A place whose mean speed is below this charges tolls; the toll grows with the vehicles over or under the number.
+SLOW, VEHICLES = 40, 150
+
+
+def linear_road_tolls(flow: Flow | None = None) -> tuple[Flow, Pool]:
+    """``position-reports`` (vehicle: (place, speed)) to the pool of each vehicle's toll.
+
+    Of each place the vehicles and the mean speed are kept; a slow one asks the same toll of
+    every vehicle that it has seen.
+    """
+    flow = flow or Flow()
+    reports = flow.source("position-reports").invert().stream_to("vehicles-by-place")
+    pair = lambda v: F.struct(F.array(v["_1"].cast("string")).alias("_1"), v["_2"].alias("_2"))
+    seen = reports.map(pair, lambda v: {"_1": [str(v["_1"])], "_2": v["_2"]}).aggregate(product(SET_UNION, AVERAGE))
+
+    def tolls(s):
+        size = F.size(s["_1"]).cast("bigint")
+        toll = (size - VEHICLES) * (size - VEHICLES)
+        listed = F.map_from_arrays(s["_1"], F.array_repeat(toll, F.size(s["_1"])))
+        return F.when(s["_2"] < SLOW, listed).otherwise(F.create_map().cast("map<string,bigint>"))
+
+    def tolls_py(s):
+        return {v: (len(s["_1"]) - VEHICLES) ** 2 for v in s["_1"]} if s["_2"] is not None and s["_2"] < SLOW else {}
+
+    maps = seen.map(tolls, tolls_py, initial={}, type="map<string,bigint>")
+    return flow, maps.updates().sum_by_key("summaries")
+
+
+def denormalize() -> tuple[Flow, Pool]:
+    """``users`` (user: map from group to name) and ``groups`` (group: its name) to a pool of groups with their members.
+
+    A group that is not known yet is null, whoever its members are.
+    """
     flow = Flow()
-    left, right = flow.source(users).latest_option(), flow.source(customers).latest_option()
-    left.join(right).updates().sink_to("joined")
+    members = flow.source("users").latest_by_key("users-changes", type="string", key_type="bigint", owner_type="bigint")
+    both = flow.source("groups").latest_option("string").join(members)
+    known = lambda v: F.when(v["_1"].isNotNull(), F.struct(v["_1"].alias("name"), v["_2"].alias("members")))
+    known_py = lambda v: None if v["_1"] is None else {"name": v["_1"], "members": v["_2"]}
+    return flow, both.map(known, known_py, type="struct<name:string,members:map<bigint,string>>")
+
+
+def customer_transactions() -> tuple[Flow, Pool]:
+    """``transactions`` and ``transaction-customers`` (both by transaction) and ``customers`` to a pool of (customer, transactions).
+
+    A transaction and its customer are joined, whichever comes first; each change of either
+    appends the transaction to its customer's again.  Null until the customer is known.
+    """
+    flow = Flow()
+    bought = flow.source("transactions").latest_option("bigint").join(flow.source("transaction-customers").latest_option("bigint"))
+    whole = bought.updates().filter(lambda v: v["_1"].isNotNull() & v["_2"].isNotNull(), lambda v: v["_1"] is not None and v["_2"] is not None)
+    pairs = whole.map(lambda v: F.struct(v["_2"].alias("_1"), F.array(v["_1"]).alias("_2")), lambda v: {"_1": v["_2"], "_2": [v["_1"]]})
+    listed = pairs.group_by_key().stream_to("transactions-by-customer").sum(LIST, "array<bigint>")
+    both = flow.source("customers").latest_option("string").join(listed)
+    known = lambda v: F.when(v["_1"].isNotNull(), F.struct(v["_1"].alias("name"), v["_2"].alias("transactions")))
+    known_py = lambda v: None if v["_1"] is None else {"name": v["_1"], "transactions": v["_2"]}
+    return flow, both.map(known, known_py, type="struct<name:string,transactions:array<bigint>>")
+
+
+def connected_components() -> Flow:
+    """``edges`` (node: neighbour) to ``labels``: each label that a node is offered, the least of which is its component's.
+
+    Edges count in both directions.  A node tells its neighbours its label when it first
+    hears of them and whenever the label falls.
+    """
+    flow = Flow()
+    kind = "struct<edge:boolean,n:bigint>"
+    as_edge = lambda v: F.struct(F.lit(True).alias("edge"), v.alias("n"))
+    there = flow.source("edges")
+    back = there.zip_with_key().map(lambda v: F.struct(v["_2"].alias("_1"), v["_1"].alias("_2")), lambda v: {"_1": v["_2"], "_2": v["_1"]}).group_by_key()
+    ends = flow.merge(there=there, back=back).map(as_edge, lambda v: {"edge": True, "n": v}).stream_to("both-ends")
+
+    def tell(key, state, message):
+        label, around = state or (key, [])
+        n = message["n"]
+        if message["edge"]:
+            return ((label, around), []) if n in around else ((label, [*around, n]), [{"_1": n, "_2": label}])
+        if n >= label:
+            return (label, around), []
+        return (n, around), [{"_1": other, "_2": n} for other in around]
+
+    def body(again):
+        offers = again.map(lambda v: F.struct(F.lit(False).alias("edge"), v.alias("n")), lambda v: {"edge": False, "n": v})
+        told = flow.merge(ends=ends.map(lambda v: v.cast(kind), lambda v: v), offers=offers)
+        return told.with_keys.transform(lambda: None, tell, "struct<_1:bigint,_2:bigint>").group_by_key()
+
+    flow.cycle("labels", body, mode="replay")
     return flow
 
 
@@ -87,17 +168,11 @@ def entity_resolution() -> Flow:
     flow = Flow()
 
     def body(again):
-        everything = flow.merge(raw=flow.source("products"), merged=again.map(lambda v: v, lambda v: v).group_by(lambda v: F.lit(0).cast("bigint"), lambda v: 0))
+        everything = flow.merge(raw=flow.source("products"), merged=again.group_by(lambda v: F.lit(0).cast("bigint"), lambda v: 0))
         copies = everything.flat_map(
             lambda p: F.transform(p["categories"], lambda c: F.struct(c.alias("_1"), p.alias("_2"))), lambda p: [{"_1": c, "_2": p} for c in sorted(p["categories"])]
         )
-        by_category = copies.group_by_key()
-        scoped = flow_local(by_category)
-        return scoped.transform(list, swoosh, PRODUCT)
-
-    def flow_local(stream):
-        stream.grouped = True  # inside one binding the next node's exchange brings keys together
-        return stream
+        return copies.group_by_key().within("by-category").transform(list, swoosh, PRODUCT)
 
     flow.cycle("resolved", body, mode="replay")
     return flow

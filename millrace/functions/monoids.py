@@ -46,11 +46,19 @@ SET_UNION = Monoid(
     list,
     lambda a, b: sorted({*a, *b}),
     lambda c, w: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(w)))),
-    lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))),
+    lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))),
     "array<string>",
     initial=[],
 )
-LIST = Monoid(list, lambda a, b: [*a, *b], lambda c, w: F.flatten(F.collect_list(c).over(w)), lambda c: F.flatten(F.collect_list(c)), "array<string>", initial=[])
+
+
+def _in_order(c: Column) -> Column:
+    """The elements of a key's arrays in order of ``ord``."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), c.alias("v"))))
+    return F.flatten(F.transform(listed, lambda x: x["v"]))
+
+
+LIST = Monoid(list, lambda a, b: [*a, *b], lambda c, w: F.flatten(F.collect_list(c).over(w)), _in_order, "array<string>", initial=[])
 #: Averages of doubles; the state is (number, total).
 AVERAGE = Monoid(
     lambda: (0, 0.0),
@@ -61,3 +69,30 @@ AVERAGE = Monoid(
     lambda state: state[1] / state[0],
     None,
 )
+
+
+def product(left: Monoid, right: Monoid) -> Monoid:
+    """Pairs (_1, _2), summed side by side."""
+    both = lambda one, two: F.struct(one.alias("_1"), two.alias("_2"))
+    return Monoid(
+        lambda: (left.zero(), right.zero()),
+        lambda a, b: (left.plus(a[0], b["_1"]), right.plus(a[1], b["_2"])),
+        lambda c, w: both(left.running(c["_1"], w), right.running(c["_2"], w)),
+        lambda c: both(left.final(c["_1"]), right.final(c["_2"])),
+        f"struct<_1:{left.type},_2:{right.type}>",
+        lambda state: {"_1": left.value(state[0]), "_2": right.value(state[1])},
+        {"_1": left.initial, "_2": right.initial},
+    )
+
+
+def pointwise(type: str = "bigint", key_type: str = "string") -> Monoid:
+    """Maps, whose numbers are summed key by key; a key that either has stays."""
+
+    def plus(a: dict, b: dict | None) -> dict:
+        return {k: a.get(k, 0) + (b or {}).get(k, 0) for k in {**a, **(b or {})}}
+
+    def summed(maps: Column) -> Column:
+        add = lambda k, x, y: F.coalesce(x, F.lit(0).cast(type)) + F.coalesce(y, F.lit(0).cast(type))
+        return F.aggregate(maps, F.create_map().cast(f"map<{key_type},{type}>"), lambda a, m: F.map_zip_with(a, m, add))
+
+    return Monoid(dict, plus, lambda c, w: summed(F.collect_list(c).over(w)), lambda c: summed(F.collect_list(c)), f"map<{key_type},{type}>", initial={})

@@ -27,9 +27,11 @@ def so_far():
 
 
 def literal(value: Any, kind: str) -> Column:
-    """A plain value as a column of a type; sequences, maps and records by way of JSON."""
+    """A plain value as a column of a type; sequences and records by way of JSON, maps of single values as such."""
     import json
 
+    if kind.startswith("map") and isinstance(value, dict) and not any(isinstance(v, (list, dict)) for v in value.values()):
+        return F.create_map(*[F.lit(x) for pair in value.items() for x in pair]).cast(kind)
     if isinstance(value, (list, dict)):
         return F.from_json(F.lit(json.dumps(value)), kind)
     return F.lit(value).cast(kind)
@@ -40,6 +42,8 @@ class Stream:
 
     def __init__(self, node: Node, grouped: bool, flow: Flow, keyed: bool = False):
         self.node, self.grouped, self.flow, self._keyed = node, grouped, flow, keyed
+        #: Of a pool's changelog: the newest value of each key, see ``Pool.newest``.
+        self.newest: Callable | None = None
 
     def _new(self, node: Node, grouped: bool | None = None) -> Stream:
         return Stream(node, self.grouped if grouped is None else grouped, self.flow)
@@ -140,8 +144,8 @@ class Stream:
             return state, [monoid.value(state)]
 
         node = StatefulTransform(up.node, monoid.zero, step, kind, lambda df: df.withColumn("value", monoid.running(F.col("value"), so_far())))
-        out = Pool(self._new(node), monoid.initial, kind)
-        out.monoid, out.monoid_input = monoid, up.node
+        final = lambda lower: lower(up.node).groupBy("key").agg(monoid.final(F.col("value")).alias("value"))
+        out = Pool(self._new(node), monoid.initial, kind, final)
         return out.map(present) if present else out
 
     def distinct_count(self) -> Pool:
@@ -156,7 +160,8 @@ class Stream:
             first = F.row_number().over(Window.partitionBy("key", "value").orderBy("ord")) == 1
             return df.withColumn("value", first.cast("bigint")).withColumn("value", F.sum("value").over(so_far()))
 
-        return Pool(self._new(StatefulTransform(self.node, frozenset, step, "bigint", window)), 0, "bigint")
+        final = lambda lower: lower(self.node).groupBy("key").agg(F.countDistinct(F.struct("value")).alias("value"))
+        return Pool(self._new(StatefulTransform(self.node, frozenset, step, "bigint", window)), 0, "bigint", final)
 
     def grouped_by_count(self, size: int, lossless: bool = False, type: str = "array<bigint>") -> Stream:
         """Arrays of ``size`` values.
@@ -166,6 +171,8 @@ class Stream:
         batch that is not full is never emitted.
         """
         self._need_groups()
+        if size <= 0:
+            raise ValueError("a batch holds at least one value")
         cycle = size if lossless else size + 1
 
         def step(state, value):
@@ -206,10 +213,11 @@ class Stream:
             raise NotGroupedError("name the pool before joining with it")
         return self._new(Lookup(self.node, pool.updates().node, None, pool.initial))
 
-    def sum_by_key(self, name: str, type: str = "bigint") -> Pool:
+    def sum_by_key(self, name: str, type: str = "bigint", key_type: str = "string") -> Pool:
         """Values are maps; the total of each map key over every stream key's newest map.
 
         A key's newer map takes back what its last one gave.  Differences of zero are left out.
+        ``key_type`` is that of the maps' keys.
         """
         self._need_groups()
 
@@ -219,43 +227,75 @@ class Stream:
             return now, [x for x in out if x["_2"]]
 
         def window(df):
-            old = df.withColumn("_old", F.lag("value").over(by_key()))
-            empty = F.map_from_entries(F.transform(F.map_entries("value"), lambda e: e))
-            old = old.withColumn("_old", F.coalesce("_old", F.map_filter(empty, lambda k, v: F.lit(False))))
+            empty = F.map_filter("value", lambda k, v: F.lit(False))
+            df = df.withColumn("value", F.coalesce("value", F.create_map().cast(f"map<{key_type},{type}>")))
+            old = df.withColumn("_old", F.coalesce(F.lag("value").over(by_key()), empty))
             both = F.map_zip_with("_old", "value", lambda k, o, n: F.coalesce(n, F.lit(0)) - F.coalesce(o, F.lit(0)))
             listed = F.array_sort(F.map_entries(F.map_filter(both, lambda k, d: d != 0)))
             rows = old.select("key", "ord", F.posexplode(listed).alias("_i", "_e"))
             pair = F.struct(F.col("_e.key").alias("_1"), F.col("_e.value").alias("_2"))
             return rows.select("key", pair.alias("value"), F.concat("ord", F.array(F.col("_i").cast("bigint"))).alias("ord"))
 
-        pair = self._new(StatefulTransform(self.node, dict, step, f"struct<_1:string,_2:{type}>", window))
-        return pair.group_by_key().stream_to(name).sum(_sum_of(type))
+        def final(lower):
+            """Sums over the newest maps; keys that had a number once and are in no newest map any more are zero.
 
-    def latest_by_key(self, name: str, type: str = "bigint") -> Pool:
+            If the maps are a pool's own changelog, which is never made then, those keys are left out.
+            """
+            newest = _newest(self, lower).select(F.explode("value").alias("key", "v"))
+            totals = newest.groupBy("key").agg(F.sum("v").cast(type).alias("value"), F.max(F.col("v") != 0).alias("had"))
+            if self.newest is not None:
+                return totals.where("had").select("key", "value")
+            known = lower(self.node).select(F.explode("value").alias("key", "v")).where("v <> 0").select("key").distinct()
+            return known.join(totals, "key", "left").select("key", F.coalesce("value", F.lit(0).cast(type)).alias("value"))
+
+        pair = self._new(StatefulTransform(self.node, dict, step, f"struct<_1:{key_type},_2:{type}>", window))
+        pool = pair.group_by_key().stream_to(name).sum(_sum_of(type))
+        pool.final = final
+        return pool
+
+    def latest_by_key(self, name: str, type: str = "bigint", key_type: str = "string", owner_type: str = "string") -> Pool:
         """Values are maps; for each map key, what every stream key's newest map has for it.
 
         Entries that a newer map lacks are removed first, then its own are put again.
+        ``key_type`` is that of the maps' keys, ``owner_type`` that of the stream's (as strings
+        they may be of any type).
         """
         self._need_groups()
+        owner = str if owner_type == "string" else lambda k: k
 
         def changes(state, value):
             now = value or {}
             gone = [{"_1": k, "_2": None} for k in sorted(state) if k not in now]
             return now, gone + [{"_1": k, "_2": {"v": now[k]}} for k in sorted(now)]
 
-        kind = f"struct<_1:string,_2:struct<v:{type}>>"
+        kind = f"struct<_1:{key_type},_2:struct<v:{type}>>"
         moved = self._new(StatefulTransform(self.node, dict, changes, kind))
         tagged = moved.with_keys.map(
             lambda k, v: F.struct(v["_1"].alias("_1"), F.struct(k.alias("k"), v["_2"].alias("v")).alias("_2")), lambda k, v: {"_1": v["_1"], "_2": {"k": k, "v": v["_2"]}}
         )
 
         def put(state, change):
-            new = {k: v for k, v in state.items() if k != str(change["k"])}
+            new = {k: v for k, v in state.items() if k != owner(change["k"])}
             if change["v"] is not None:
-                new[str(change["k"])] = change["v"]["v"]
+                new[owner(change["k"])] = change["v"]["v"]
             return new
 
-        return tagged.group_by_key().stream_to(name).fold({}, put, f"map<string,{type}>")
+        def final(lower):
+            """Every key's newest map, turned over; map keys that all have lost keep an empty map.
+
+            If the maps are a pool's own changelog, which is never made then, those keys are left out.
+            """
+            newest = _newest(self, lower).select(F.col("key").cast(owner_type).alias("o"), F.explode("value").alias("key", "v"))
+            held = newest.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("o", "v")))).alias("value"))
+            if self.newest is not None:
+                return held
+            known = lower(self.node).select(F.explode(F.map_keys("value")).alias("key")).distinct()
+            empty = F.create_map().cast(f"map<{owner_type},{type}>")
+            return known.join(held, "key", "left").select("key", F.coalesce("value", empty).alias("value"))
+
+        pool = tagged.group_by_key().stream_to(name).fold({}, put, f"map<{owner_type},{type}>")
+        pool.final = final
+        return pool
 
     # names
 
@@ -263,6 +303,14 @@ class Stream:
         """Bind the stream to a name; what is read from the name has its keys together."""
         return self.flow.stream(name, self)
 
+    def within(self, name: str) -> Stream:
+        """Name a stream inside a binding's own body, where a cycle has no name of its own for it.
+
+        Its keys count as together: the next state brings them together.  The name is taken and binds nothing.
+        """
+        self.flow.graph.reserve(name)
+        return self._new(self.node, True)
+
     def sink_to(self, name: str) -> None:
         """Publish the stream."""
         self.flow.sink(name, self)
@@ -274,17 +322,33 @@ def _sum_of(kind: str) -> Monoid:
     return replace(SUM, type=kind)
 
 
+def _newest(stream: Stream, lower: Callable):
+    """The newest value (key, value) of each key of a stream."""
+    if stream.newest is not None:
+        return stream.newest(lower)
+    last = lower(stream.node).groupBy("key").agg(F.max_by(F.struct("value"), "ord").alias("v"))
+    return last.select("key", F.col("v.value").alias("value"))
+
+
 class Pool:
-    """A changelog and the value that a key has before its first change."""
+    """A changelog and the value that a key has before its first change.
 
-    def __init__(self, updates: Stream, initial: Any, type: str | None = None):
-        self._updates, self.initial, self.type = updates, initial, type
-        self.monoid: Monoid | None = None
-        self.monoid_input: Node | None = None
+    ``final`` makes the newest values (key, value) without the changelog, given what lowers
+    nodes; pools made of pools know theirs from those.
+    """
+
+    def __init__(self, updates: Stream, initial: Any, type: str | None = None, final: Callable | None = None):
+        self._updates, self.initial, self.type, self.final = updates, initial, type, final
 
     def updates(self) -> Stream:
         """The changelog as a stream."""
-        return self._updates
+        stream = self._updates._new(self._updates.node)
+        stream.newest = self.final
+        return stream
+
+    def newest(self, lower: Callable):
+        """The newest value (key, value) of each key that has had a change."""
+        return _newest(self.updates(), lower)
 
     def updated_pairs(self) -> Stream:
         """(previous, current) for each change; the first previous value is the initial one."""
@@ -310,20 +374,40 @@ class Pool:
                 initial = (py or f)(self.initial)
             except Exception as e:
                 raise ValueError("give the mapped initial value: the function works on columns only") from e
-        return Pool(self._updates.stream().map(f, py), initial, type or self.type)
+        final = lambda lower: self.newest(lower).select("key", f(F.col("value")).alias("value"))
+        return Pool(self._updates.stream().map(f, py), initial, type or self.type, final)
 
     def join(self, other: Pool) -> Pool:
         """A pair for every change of either side, each with the other's value at that time."""
         for side in (self, other):
             side._updates._need_groups()
         node = Lookup(self._updates.node, other._updates.node, self.initial, other.initial, both=True)
-        return Pool(self._updates._new(node), {"_1": self.initial, "_2": other.initial})
+
+        def final(lower):
+            """Both sides' newest values; a side without a change has its initial one."""
+            sides = [p.newest(lower).select("key", F.struct("value").alias(c)) for p, c in ((self, "l"), (other, "r"))]
+            both = sides[0].join(sides[1], "key", "full")
+            known = lambda c, init: F.when(F.col(c).isNull(), literal(init, both.schema[c].dataType["value"].dataType.simpleString())).otherwise(F.col(c)["value"])
+            return both.select("key", F.struct(known("l", self.initial).alias("_1"), known("r", other.initial).alias("_2")).alias("value"))
+
+        return Pool(self._updates._new(node), {"_1": self.initial, "_2": other.initial}, None, final)
 
     def stream_to(self, name: str) -> Pool:
         """Bind the changelog to a name."""
         return self._updates.flow.pool(name, self)
 
 
+class Topic:
+    """A name from outside that a flow can read."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def as_source(self, flow: Flow) -> Stream:
+        """The topic as a stream of the flow."""
+        return flow.source(self.name)
+
+
 class Flow:
     """Names and what they are bound to; also usable with ``with``."""
 
@@ -351,7 +435,7 @@ class Flow:
 
     def pool(self, name: str, pool: Pool) -> Pool:
         """Bind a pool's changelog and keep its default."""
-        return Pool(self.stream(name, pool.updates()), pool.initial, pool.type)
+        return Pool(self.stream(name, pool.updates()), pool.initial, pool.type, pool.final)
 
     def sink(self, name: str, stream: Stream) -> None:
         """Publish a grouped stream."""

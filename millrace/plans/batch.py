@@ -9,27 +9,33 @@ streams through.  Named streams are lowered once and reused.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..operators.flow import Flow, Pool, Stream, literal, so_far
 from .ir import Clock, Graph, GroupBy, Lookup, Merge, Node, PureTransform, Source, StatefulTransform
 from .storage import stored
 
 
-def plain(value):
-    """Arrow's list-of-pairs form of maps as dictionaries, at any depth of lists and records."""
-    if isinstance(value, list) and value and all(isinstance(x, tuple) and len(x) == 2 for x in value):
-        return {k: plain(v) for k, v in value}
-    if isinstance(value, list):
-        return [plain(x) for x in value]
-    if isinstance(value, dict):
-        return {k: plain(v) for k, v in value.items()}
-    return value
+def converter(kind: DataType) -> Callable | None:
+    """What turns Arrow's list-of-pairs form of maps in a value of this type into dictionaries; None if it holds no map."""
+    if isinstance(kind, MapType):
+        inner = converter(kind.valueType) or (lambda v: v)
+        return lambda x: None if x is None else {k: inner(v) for k, v in (x.items() if isinstance(x, dict) else x)}
+    if isinstance(kind, ArrayType):
+        inner = converter(kind.elementType)
+        return inner and (lambda x: None if x is None else [inner(v) for v in x])
+    if isinstance(kind, StructType):
+        fields = {f.name: c for f in kind if (c := converter(f.dataType))}
+        return (lambda x: None if x is None else {k: fields[k](v) if k in fields else v for k, v in x.items()}) if fields else None
+    return None
 
 
 def run_machine(df: DataFrame, node: StatefulTransform) -> DataFrame:
@@ -39,6 +45,7 @@ def run_machine(df: DataFrame, node: StatefulTransform) -> DataFrame:
     schema = spark.createDataFrame([], f"key {key_type}, value {node.type}, ord array<bigint>").schema
     arrow = to_arrow_schema(schema)
     init, step, keyed = node.init, node.step, node.keyed
+    plain = converter(df.schema["value"].dataType) or (lambda v: v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now, begun = None, None, False
@@ -59,10 +66,30 @@ def run_machine(df: DataFrame, node: StatefulTransform) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+def without(body: Node, name: str) -> Node:
+    """A cycle's body without the branches that read nothing but its own name."""
+
+    def pruned(node: Node) -> Node | None:
+        if isinstance(node, Source):
+            return None if node.name == name else node
+        if isinstance(node, Merge):
+            left = [(n, p) for n, b in node.branches if (p := pruned(b)) is not None]
+            return Merge(left) if left else None
+        if isinstance(node, (PureTransform, GroupBy, StatefulTransform)):
+            up = pruned(node.up)
+            return None if up is None else replace(node, up=up)
+        return node
+
+    start = pruned(body)
+    if start is None:
+        raise ValueError(f"{name} reads nothing but itself")
+    return start
+
+
 class Batch:
     """A graph, the topics it reads, and the frames of its names."""
 
-    def __init__(self, spark: SparkSession, flow: Flow | Graph, topics: dict[str, DataFrame], *, span: tuple[str, str] | None = None, max_rounds: int = 100):
+    def __init__(self, spark: SparkSession, flow: Flow | Graph, topics: dict[str, DataFrame], *, span: tuple[str, str] | None = None, max_rounds: int | None = None):
         self.spark = spark
         self.graph = flow.graph if isinstance(flow, Flow) else flow
         self.topics, self.span, self.max_rounds = dict(topics), span, max_rounds
@@ -89,13 +116,10 @@ class Batch:
     def current(self, pool: Pool) -> DataFrame:
         """Each key's present value (key, value).
 
-        A running sum that nothing else reads is never made: its monoid becomes an
-        aggregate with map-side partial sums.
+        Only these are made: a running sum becomes an aggregate with map-side partial sums,
+        and pools that are joined meet as their present values.
         """
-        if pool.monoid is not None and pool.monoid_input is not None:
-            df = self.lower(pool.monoid_input)
-            return df.groupBy("key").agg(pool.monoid.final(F.col("value")).alias("value"))
-        return self.lower(pool).groupBy("key").agg(F.max_by(F.struct("value"), "ord").alias("v")).select("key", F.col("v.value").alias("value"))
+        return pool.newest(self.lower)
 
     def _lower(self, node: Node, named: Callable[[str], DataFrame]) -> DataFrame:
         if isinstance(node, Source):
@@ -157,7 +181,9 @@ class Batch:
         first = self._first(name, body, outside)
         total = stored(self._mark(first, 0), f"{name}-0")
         last = total
-        for turn in range(1, self.max_rounds + 1):
+        for turn in itertools.count(1):
+            if self.max_rounds is not None and turn > self.max_rounds:
+                raise RuntimeError(f"{name} did not settle in {self.max_rounds} rounds")
             if mode == "linear":
                 made = self._lower(body, lambda n, last=last: last if n == name else shapes[n])
                 last = stored(self._mark(made, turn), f"{name}-{turn}")
@@ -165,41 +191,18 @@ class Batch:
                     return total
                 total = total.unionByName(last)
             else:
-                before = total.select("key", "value").distinct()
                 made = self._lower(body, lambda n, seen=total: seen if n == name else outside[n])
-                new = made.select("key", "value").distinct().join(before.withColumn("_b", F.lit(1)), _same("key", "value", made, before), "left_anti")
+                new = made.select("key", "value").subtract(total.select("key", "value"))  # nulls are equal to nulls here
                 order = F.row_number().over(Window.partitionBy("key").orderBy("value")).cast("bigint")
                 last = stored(new.select("key", "value", F.array(F.lit(turn).cast("bigint"), order).alias("ord")), f"{name}-{turn}")
                 if last.limit(1).count() == 0:
                     return total
                 total = total.unionByName(last)
-        raise RuntimeError(f"{name} did not settle in {self.max_rounds} rounds")
 
     def _first(self, name: str, body: Node, outside: dict[str, DataFrame]) -> DataFrame:
         """The first round: nothing has come back yet, so branches that only read the name are left out."""
-
-        def pruned(node: Node) -> Node | None:
-            if isinstance(node, Source):
-                return None if node.name == name else node
-            if isinstance(node, Merge):
-                left = [(n, p) for n, b in node.branches if (p := pruned(b)) is not None]
-                return Merge(left) if left else None
-            if isinstance(node, (PureTransform, GroupBy, StatefulTransform)):
-                from dataclasses import replace
-
-                up = pruned(node.up)
-                return None if up is None else replace(node, up=up)
-            return node
-
-        start = pruned(body)
-        if start is None:
-            raise ValueError(f"{name} reads nothing but itself")
-        return self._lower(start, outside.__getitem__)
+        return self._lower(without(body, name), outside.__getitem__)
 
     @staticmethod
     def _mark(df: DataFrame, turn: int) -> DataFrame:
         return df.select("key", "value", F.concat(F.array(F.lit(turn).cast("bigint")), "ord").alias("ord"))
-
-
-def _same(key: str, value: str, a: DataFrame, b: DataFrame) -> list[str]:
-    return [key, value]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..examples import jobs
-from ..functions.monoids import AVERAGE, LIST, MAX, SUM, SUM_DOUBLE
+from ..functions.monoids import AVERAGE, LIST, MAX, SET_UNION, SUM, SUM_DOUBLE, pointwise, product
 from ..functions.process import Process
 from ..functions.text import split_words
 from ..operators.components import connected_components
@@ -39,6 +39,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, 1000000000 + o_orderkey // 2 AS v FROM orders),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(node, label) USING KEY (node) AS (
+  SELECT u AS node, u AS label FROM b GROUP BY u
+  UNION
+  SELECT b.v AS node, min(r.label) AS label FROM r JOIN b ON r.node = b.u JOIN recurring.r AS now ON now.node = b.v
+  WHERE r.label < now.label GROUP BY b.v)
+SELECT node, label AS component FROM r"""
+
+
 def _query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -176,6 +186,51 @@ def set_union_size(spark, sf_dir):
     return out.select(F.col("key").alias("event_type"), F.col("ord")[0].alias("event_id"), F.col("value").alias("n"))
 
 
+@_query("set_union", "SELECT event_type, string_agg(u, ',' ORDER BY u) AS users FROM (SELECT DISTINCT event_type, user_id::VARCHAR AS u FROM events) GROUP BY event_type")
+def set_union(spark, sf_dir):
+    """The contents of each set in the end."""
+    batch, pool = _run(spark, sf_dir, lambda _, s: s.map(lambda v: F.array(v)).sum(SET_UNION), key="event_type", value="cast(user_id as string)")
+    return batch.current(pool).select(F.col("key").alias("event_type"), F.array_join("value", ",").alias("users"))
+
+
+@_query(
+    "map_sums",
+    """SELECT user_id, string_agg(concat(k, ':', s), ',' ORDER BY k) AS sums FROM (
+  SELECT user_id, k, sum(v)::BIGINT AS s FROM (
+    SELECT user_id, event_type AS k, event_id AS v FROM events UNION ALL SELECT user_id, concat('m', event_id % 3), 1 FROM events) GROUP BY 1, 2)
+GROUP BY user_id""",
+)
+def map_sums(spark, sf_dir):
+    """Maps summed key by key."""
+    value = "map_from_arrays(array(event_type, concat('m', event_id % 3)), array(event_id, 1L))"
+    batch, pool = _run(spark, sf_dir, lambda _, s: s.sum(pointwise()), value=value)
+    entries = F.transform(F.array_sort(F.map_entries("value")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return batch.current(pool).select(F.col("key").alias("user_id"), F.array_join(entries, ",").alias("sums"))
+
+
+@_query(
+    "product_sum",
+    "SELECT user_id, sum(event_id)::BIGINT AS total, max(event_id % 100) AS most, count(*) AS n FROM events GROUP BY user_id",
+)
+def product_sum(spark, sf_dir):
+    """Three sums side by side in one aggregate."""
+    triple = lambda v: F.struct(F.struct(v.alias("_1"), (v % 100).alias("_2")).alias("_1"), F.lit(1).cast("bigint").alias("_2"))
+    batch, pool = _run(spark, sf_dir, lambda _, s: s.map(triple).sum(product(product(SUM, MAX), SUM)))
+    v = F.col("value")
+    return batch.current(pool).select(F.col("key").alias("user_id"), v["_1"]["_1"].alias("total"), v["_1"]["_2"].alias("most"), v["_2"].alias("n"))
+
+
+@_query(
+    "named_pool_join",
+    """SELECT user_id, event_id, coalesce(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+FROM events""",
+)
+def named_pool_join(spark, sf_dir):
+    """Each message with a named pool's value just before it."""
+    out = _messages(spark, sf_dir, lambda _, s: s.join(s.sum(SUM).stream_to("totals")))
+    return out.select(F.col("key").alias("user_id"), F.col("value._1").alias("event_id"), F.col("value._2").alias("before"))
+
+
 @_query("latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest(spark, sf_dir):
     """Each key's present value of a stream seen as a pool."""
@@ -278,9 +333,8 @@ _LATEST_MAPS = """SELECT user_id, unnest([t, concat('m', e % 3)]) AS k, unnest([
 def sum_by_key(spark, sf_dir):
     """Totals by map key over every user's newest map: older maps are taken back."""
     batch, pool = _run(spark, sf_dir, lambda _, s: s.sum_by_key("changes"), value=_TWO_MAP)
-    out = batch.current(pool).select(F.col("key").alias("k"), F.col("value").alias("total"))
-    gone = batch.stream("changes").groupBy("key").agg(F.max_by("value", "ord")).select(F.col("key").alias("k"))
-    return out.join(gone, "k", "left_semi")
+    held = F.col("value") != 0  # a total that is zero has no owner here: all numbers are positive
+    return batch.current(pool).where(held).select(F.col("key").alias("k"), F.col("value").alias("total"))
 
 
 @_query("latest_by_key", f"SELECT k, string_agg(concat(user_id, ':', v), ',' ORDER BY user_id::VARCHAR) AS members FROM ({_LATEST_MAPS}) GROUP BY k")
@@ -310,43 +364,34 @@ def process_machine(spark, sf_dir):
 
 
 @_query(
-    "cycle_linear",
-    """WITH RECURSIVE c AS (SELECT user_id, event_id + 1000 AS v FROM events WHERE event_id < 8000
-  UNION ALL SELECT user_id, v + 1000 FROM c WHERE v < 8000) SELECT user_id, v FROM c""",
+    "process_combinators",
+    "SELECT user_id, event_id, unnest([0, 1]) AS i, unnest([2 * s + 1, s]) AS v FROM (" + _running("sum(event_id)").replace(" AS v ", " AS s ") + ")",
 )
-def cycle_linear(spark, sf_dir):
-    """A stream that feeds itself until its values are large."""
-    build = lambda flow, s: flow.cycle("grown", lambda me: flow.merge(new=s, again=me).filter(lambda v: v < 8000).map(lambda v: v + 1000))
-    return _messages(spark, sf_dir, build).select(F.col("key").alias("user_id"), F.col("value").alias("v"))
+def process_combinators(spark, sf_dir):
+    """from_aggregator, map, chain, and_then: twice a running sum and one more, then the sum itself."""
+    total = Process.from_aggregator(lambda n, v: n + v, lambda n: n).map(lambda n: 2 * n)
+    both = total.chain(Process.on_input(lambda v: Process.output(v + 1))).and_then(Process.on_state(lambda n: Process.output(n)))
+    out = _messages(spark, sf_dir, lambda _, s: s.process(lambda: 0, both, "bigint"))
+    return out.select(F.col("key").alias("user_id"), F.col("ord")[0].alias("event_id"), F.element_at("ord", -1).cast("int").alias("i"), F.col("value").alias("v"))
 
 
-@_query("cycle_linear_whole")
-def cycle_linear_whole(spark, sf_dir):
-    """The same over every event: the end is above all ids, and a step is an eighth of it."""
+@_query(
+    "cycle_linear",
+    """WITH RECURSIVE e AS (SELECT coalesce(max(event_id), 0) + 1 AS z, (coalesce(max(event_id), 0) + 8) // 8 AS d FROM events),
+c AS (SELECT user_id, event_id + d AS v FROM events, e
+  UNION ALL SELECT user_id, v + d FROM c, e WHERE v < z) SELECT user_id, v FROM c""",
+)
+def cycle_linear(spark, sf_dir):
+    """A stream that feeds itself until its values are above all ids; a step is an eighth of that."""
     end = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]
     step = -(-end // 8)
     build = lambda flow, s: flow.cycle("grown", lambda me: flow.merge(new=s, again=me).filter(lambda v: v < end).map(lambda v: v + step))
     return _messages(spark, sf_dir, build).select(F.col("key").alias("user_id"), F.col("value").alias("v"))
 
 
-@_query(
-    "connected_components",
-    """WITH RECURSIVE e AS (
-  SELECT DISTINCT o_custkey AS u, 1000000000 + o_orderkey // 2 AS v FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey % 7 = 0),
-b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-r AS (SELECT u AS node, u AS label FROM b UNION SELECT b.v, r.label FROM r JOIN b ON r.node = b.u AND r.label < b.v)
-SELECT node, min(label) AS component FROM r GROUP BY node""",
-)
+@_query("connected_components", _COMPONENTS)
 def components(spark, sf_dir):
     """The least node that each node reaches, in a graph of customers and halved order numbers."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT' or o_orderkey % 7 = 0")
-    edges = orders.select(F.col("o_custkey").alias("src"), F.expr("1000000000 + o_orderkey div 2").alias("dst"))
-    return connected_components(edges)
-
-
-@_query("connected_components_whole")
-def components_whole(spark, sf_dir):
-    """The same graph from all orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return connected_components(orders.select(F.col("o_custkey").alias("src"), F.expr("1000000000 + o_orderkey div 2").alias("dst")))
 
@@ -359,31 +404,20 @@ def clock_ticks(spark, sf_dir):
 
 @_query(
     "scheduler",
-    """WITH r AS (SELECT (floor(epoch(ts))::BIGINT // 3600) * 3600 AS due, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS names FROM events WHERE event_id < 200 GROUP BY 1),
-b AS (SELECT (min(floor(epoch(ts))::BIGINT) // 3600) * 3600 AS a, max(floor(epoch(ts))::BIGINT) AS z FROM events WHERE event_id < 200)
+    """WITH r AS (SELECT (floor(epoch(ts))::BIGINT // 3600) * 3600 AS due, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS names FROM events GROUP BY 1),
+b AS (SELECT (min(floor(epoch(ts))::BIGINT) // 3600) * 3600 AS a, max(floor(epoch(ts))::BIGINT) AS z FROM events)
 SELECT t AS tick, coalesce(names, '') AS names FROM (SELECT unnest(generate_series(a, z, 3600)) AS t FROM b) LEFT JOIN r ON r.due = t""",
 )
 def scheduler(spark, sf_dir):
-    """At each hourly tick the requests due then; a request is known from the start."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 200").withColumn("due", F.expr("unix_seconds(cast(ts as timestamp)) div 3600 * 3600"))
-    ends = events.agg(F.min("due").alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z")).first()
-    stamp = lambda s: str(spark.sql(f"SELECT string(timestamp_seconds({s}))").first()[0])
-    requests = topic(events.withColumn("o", F.col("event_id") - 1_000_000), key="due", value="cast(event_id as string)", order=["o"])
-    batch = Batch(spark, jobs.scheduler(3600), {"requests": requests}, span=(stamp(ends["a"]), stamp(ends["z"])))
-    return batch.stream("triggered").select(F.col("key").alias("tick"), F.array_join("value", ",").alias("names"))
-
-
-@_query("scheduler_whole")
-def scheduler_whole(spark, sf_dir):
-    """The same for every event: all requests come before all ticks, so each tick finds the list that is current in the end."""
+    """At each hourly tick the requests due then; all requests come before all ticks, so each tick finds the list that is current in the end."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("due", F.expr("unix_seconds(cast(ts as timestamp)) div 3600 * 3600"))
     ends = events.agg(F.min("due").alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z")).first()
     flow = Flow()
     requests = flow.source("requests").map(lambda r: F.array(r)).sum(LIST, "array<bigint>")
     batch = Batch(spark, flow, {"requests": topic(events, key="due", value="event_id", order=["event_id"])})
+    known = batch.current(requests).select(F.col("key").alias("tick"), F.array_join("value", ",").alias("names"))
     if ends["a"] is None:  # no events
-        return batch.current(requests).select(F.col("key").alias("tick"), F.array_join("value", ",").alias("names"))
-    known = batch.current(requests).select(F.col("key").alias("tick"), F.array_join(F.array_sort("value"), ",").alias("names"))
+        return known
     ticks = spark.range(ends["a"], ends["z"] + 1, 3600).select(F.col("id").alias("tick"))
     return ticks.join(known, "tick", "left").select("tick", F.coalesce("names", F.lit("")).alias("names"))
 
@@ -404,18 +438,16 @@ def linear_road(spark, sf_dir):
 
 @_query(
     "linear_road_tolls",
-    """WITH p AS (SELECT user_id AS car, event_id % 10 AS place, event_id, value AS speed FROM events),
-s AS (SELECT place, count(DISTINCT car) AS n, avg(speed) AS mean FROM p GROUP BY place),
-t AS (SELECT DISTINCT p.place, car, CASE WHEN mean < 40 THEN (n - 150) * (n - 150) ELSE 0 END AS toll FROM p JOIN s ON s.place = p.place)
-SELECT car, sum(toll)::BIGINT AS toll FROM t GROUP BY car""",
+    f"""WITH p AS (SELECT user_id AS car, event_id % 10 AS place, event_id, value AS speed FROM events),
+s AS (SELECT place, count(DISTINCT car) AS n, avg(speed) AS mean FROM p GROUP BY place HAVING avg(speed) < {jobs.SLOW}),
+t AS (SELECT DISTINCT p.place, car, (n - {jobs.VEHICLES}) * (n - {jobs.VEHICLES}) AS toll FROM p JOIN s ON s.place = p.place)
+SELECT car, sum(toll)::BIGINT AS toll FROM t WHERE toll <> 0 GROUP BY car""",
 )
 def linear_road_tolls(spark, sf_dir):
-    """The final toll of each vehicle: (vehicles - 150) squared for every place whose mean speed is below 40."""
-    reports = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("car"), (F.col("event_id") % 10).alias("place"), "value")
-    stats = reports.groupBy("place").agg(F.countDistinct("car").alias("n"), F.avg("value").alias("mean"))
-    toll = F.when(F.col("mean") < 40, (F.col("n") - 150) * (F.col("n") - 150)).otherwise(0)
-    seen = reports.select("place", "car").distinct().join(stats, "place")
-    return seen.groupBy("car").agg(F.sum(toll).cast("bigint").alias("toll"))
+    """The final toll of each vehicle that has seen a slow place."""
+    flow, tolls = jobs.linear_road_tolls()
+    batch = Batch(spark, flow, {"position-reports": _events(spark, sf_dir, value="struct(event_id % 10 as _1, value as _2)")})
+    return batch.current(tolls).select(F.col("key").cast("bigint").alias("car"), F.col("value").alias("toll"))
 
 
 @_query(
@@ -443,58 +475,40 @@ def twitter_reach(spark, sf_dir):
 
 @_query(
     "denormalize",
-    "SELECT n_nationkey AS nation, n_name AS name, count(c_custkey) AS members, coalesce(max(c_custkey), -1) AS newest FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2",
+    """SELECT n_nationkey AS nation, n_name AS name, count(c_custkey) AS members, coalesce(max(c_custkey), -1) AS newest,
+  coalesce(sum(length(c_name)), 0)::BIGINT AS letters FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""",
 )
 def denormalize(spark, sf_dir):
-    """Each group with its members as they are in the end: a pool join on the group's key."""
-    flow = Flow()
-    users = flow.source("users").group_by(lambda v: v["_1"]).stream_to("members")
-    counts = users.map(lambda v: F.lit(1).cast("bigint")).sum(SUM)
-    newest = users.aggregate(MAX, lambda v: v["_2"], type="bigint")
-    groups = flow.source("groups").latest_option("string")
-    joined = groups.join(counts.join(newest))
-    customer = topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="struct(cast(c_nationkey as bigint) as _1, c_custkey as _2)", order=["c_custkey"])
+    """Each group with its members as they are in the end."""
+    flow, groups = jobs.denormalize()
+    users = topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="map(cast(c_nationkey as bigint), c_name)", order=["c_custkey"])
     nation = topic(spark.read.parquet(f"{sf_dir}/nation.parquet"), key="cast(n_nationkey as bigint)", value="n_name", order=["n_nationkey"])
-    batch = Batch(spark, flow, {"users": customer, "groups": nation})
-    out = batch.current(joined).where("value._1 is not null")
-    both = F.col("value._2")
+    out = Batch(spark, flow, {"users": users, "groups": nation}).current(groups).where("value is not null")
+    members = F.coalesce("value.members", F.create_map().cast("map<bigint,string>"))
+    letters = F.aggregate(F.map_values(members), F.lit(0).cast("bigint"), lambda n, name: n + F.length(name))
     return out.select(
-        F.col("key").cast("int").alias("nation"), F.col("value._1").alias("name"), F.coalesce(both["_1"], F.lit(0)).alias("members"), F.coalesce(both["_2"], F.lit(-1).cast("bigint")).alias("newest")
-    )
+        F.col("key").cast("int").alias("nation"), F.col("value.name").alias("name"), F.size(members).cast("bigint").alias("members"),
+        F.coalesce(F.array_max(F.map_keys(members)), F.lit(-1)).alias("newest"), letters.alias("letters"),
+    )
 
 
 @_query(
     "customer_transactions",
     """SELECT c_custkey AS customer, c_name AS name, count(*) AS orders, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS listed
-FROM customer JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey < 4000) ON o_custkey = c_custkey GROUP BY 1, 2""",
+FROM customer JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders) ON o_custkey = c_custkey GROUP BY 1, 2""",
 )
 def customer_transactions(spark, sf_dir):
-    """Transactions gathered by customer in order, then joined with what is known of the customer."""
-    flow = Flow()
-    orders = flow.source("transactions").map(lambda v: F.struct(v["c"].alias("_1"), v["o"].alias("_2"))).group_by_key().stream_to("by-customer")
-    listed = orders.map(lambda o: F.array(o)).sum(LIST, "array<bigint>")
-    joined = flow.source("customers").latest_option("string").join(listed)
-    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 4000").select("o_orderkey", "o_custkey").distinct()
-    transactions = topic(raw, key="o_orderkey", value="struct(o_custkey as c, o_orderkey as o)", order=["o_orderkey"])
-    customers = topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="c_name", order=["c_custkey"])
-    batch = Batch(spark, flow, {"transactions": transactions, "customers": customers})
-    out = batch.current(joined).where("value._1 is not null and size(value._2) > 0")
-    return out.select(F.col("key").alias("customer"), F.col("value._1").alias("name"), F.size("value._2").cast("bigint").alias("orders"), F.array_join("value._2", ",").alias("listed"))
-
-
-@_query("customer_transactions_whole")
-def customer_transactions_whole(spark, sf_dir):
-    """The same over all orders: only the last pair of pools is asked for, so each is brought to its present value before they meet."""
-    flow = Flow()
-    orders = flow.source("transactions").map(lambda v: F.struct(v["c"].alias("_1"), v["o"].alias("_2"))).group_by_key().stream_to("by-customer")
-    listed = orders.map(lambda o: F.array(o)).sum(LIST, "array<bigint>")
-    names = flow.source("customers").latest_option("string")
-    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").distinct()
-    transactions = topic(raw, key="o_orderkey", value="struct(o_custkey as c, o_orderkey as o)", order=["o_orderkey"])
-    customers = topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="c_name", order=["c_custkey"])
-    batch = Batch(spark, flow, {"transactions": transactions, "customers": customers})
-    found = batch.current(names).select("key", F.col("value").alias("name")).where("name is not null").join(batch.current(listed), "key")
-    return found.select(F.col("key").alias("customer"), "name", F.size("value").cast("bigint").alias("orders"), F.array_join(F.array_sort("value"), ",").alias("listed"))
+    """Transactions joined with their customers' numbers, gathered by customer in order, then joined with the customers."""
+    flow, known = jobs.customer_transactions()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").distinct()
+    topics = {
+        "transactions": topic(orders, key="o_orderkey", value="o_orderkey", order=["o_orderkey"]),
+        "transaction-customers": topic(orders, key="o_orderkey", value="o_custkey", order=["o_orderkey"]),
+        "customers": topic(spark.read.parquet(f"{sf_dir}/customer.parquet"), key="c_custkey", value="c_name", order=["c_custkey"]),
+    }
+    out = Batch(spark, flow, topics).current(known).where("value is not null and size(value.transactions) > 0")
+    listed = F.col("value.transactions")
+    return out.select(F.col("key").alias("customer"), F.col("value.name").alias("name"), F.size(listed).cast("bigint").alias("orders"), F.array_join(listed, ",").alias("listed"))
 
 
 @_query("entity_resolution")

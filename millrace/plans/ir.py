@@ -124,12 +124,19 @@ class Graph:
     """Bindings in the order in which they were made."""
 
     bindings: dict[str, Sink] = field(default_factory=dict)
+    reserved: set[str] = field(default_factory=set)
 
     def bind(self, name: str, sink: Sink) -> None:
-        if name in self.bindings:
+        if name in self.bindings or name in self.reserved:
             raise ValueError(f"name is bound already: {name}")
         self.bindings[name] = sink
 
+    def reserve(self, name: str) -> None:
+        """Take a name for a stream inside a binding."""
+        if name in self.bindings or name in self.reserved:
+            raise ValueError(f"name is bound already: {name}")
+        self.reserved.add(name)
+
     def sources_of(self, name: str) -> list[str]:
         """Names that a binding reads, without repetition."""
         return list(dict.fromkeys(n.name for n in self.bindings[name].node.walk() if isinstance(n, Source)))

@@ -7,9 +7,7 @@ executor costs a re-read and never a re-run of earlier rounds.
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -19,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _TRACKERS: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's part of ``spark.checkpoint.dir``; where that is unset, of a temporary folder."""
+    """The application's part of ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, of a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
@@ -36,9 +37,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The shuffle files of the plan that made it are of no use any more and go at once.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     for paths in _TRACKERS:
@@ -64,17 +73,6 @@ def tracked() -> Iterator[list[str]]:
         _TRACKERS.remove(paths)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    A listener queue holds on to the plan of the last query until another one ends, so a trivial one comes first.
-    """
-    spark.range(1).count()
-    time.sleep(0.2)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder, whichever file system holds it."""
     jvm = spark.sparkContext._jvm

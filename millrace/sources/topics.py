@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def _number(c: Column, kind: str) -> Column:
@@ -45,6 +46,17 @@ def kafka_topic(spark: SparkSession, servers: str, name: str, *, key: str = "cas
     return df.select(F.expr(key).alias("key"), F.expr(value).alias("value"), order.alias("ord"))
 
 
+def kafka_rows(df: DataFrame) -> DataFrame:
+    """Messages as Kafka takes them: key and value as strings, records and collections as JSON."""
+    simple = lambda c: F.col(c).cast("string") if not isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType)) else F.to_json(c)
+    return df.select(simple("key").alias("key"), simple("value").alias("value"))
+
+
+def publish_kafka(df: DataFrame, servers: str, name: str) -> None:
+    """Write a stream to a Kafka topic; needs Spark's Kafka connector on the class path."""
+    kafka_rows(df).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", name).save()
+
+
 def clock(spark: SparkSession, seconds: int, first: str, last: str) -> DataFrame:
     """A tick every ``seconds`` from ``first`` to ``last`` (timestamps), as epoch seconds under key 0."""
     span = spark.sql(f"SELECT explode(sequence(unix_seconds(timestamp'{first}'), unix_seconds(timestamp'{last}'), {int(seconds)}L)) AS t")

@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.flow import Flow
+from ..plans.batch import Batch, without
 from ..plans.ir import Clock, Graph, GroupBy, Lookup, Merge, Node, PureTransform, Source, StatefulTransform
+from ..plans.storage import discard, stored
+from ..sources.topics import kafka_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,7 +77,7 @@ class Streaming:
         if name in self.graph.bindings:
             sink = self.graph.bindings[name]
             if sink.cycle:
-                raise NotImplementedError("a cycle runs as a replay: see millrace.plans.batch")
+                raise NotImplementedError("start_cycle runs a linear cycle; one that keeps state over its own name runs as a replay")
             return self._lower(sink.node)
         return self.topics[name]
 
@@ -139,6 +142,39 @@ class Streaming:
         writer = self.stream(name).writeStream.foreachBatch(use).option("checkpointLocation", checkpoint).outputMode("append")
         return (writer.trigger(availableNow=True) if once else writer).start()
 
+    def start_cycle(self, name: str, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+        """A linear cycle: every micro-batch goes round until nothing comes back; all its rounds are one folder below ``path``.
+
+        A micro-batch that is run again writes its folder again, so each message is there exactly once.
+        """
+        sink = self.graph.bindings[name]
+        if sink.cycle != "linear":
+            raise NotImplementedError("only a body that keeps no state over its own name can go round inside a micro-batch")
+        others = {n.name for n in sink.node.walk() if isinstance(n, Source)} - {name}
+        shapes = {n: self.spark.createDataFrame([], self.stream(n).schema) for n in others}
+        batch = Batch(self.spark, self.graph, {})
+
+        def go_round(df: DataFrame, number: int) -> None:
+            rounds = [stored(batch._mark(df, 0), f"{name}-{number}-0")]
+            while rounds[-1].limit(1).count():
+                last = rounds[-1]
+                made = batch._lower(sink.node, lambda n: last if n == name else shapes[n])
+                rounds.append(stored(batch._mark(made, len(rounds)), f"{name}-{number}-{len(rounds)}"))
+            total = rounds[0]
+            for part in rounds[1:]:
+                total = total.unionByName(part)
+            total.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+            discard(*rounds)
+
+        writer = self._lower(without(sink.node, name)).writeStream.foreachBatch(go_round).option("checkpointLocation", checkpoint).outputMode("append")
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+    def start_kafka(self, name: str, servers: str, topic: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
+        """Send a name's messages to a Kafka topic, at least once; needs Spark's Kafka connector on the class path."""
+        writer = kafka_rows(self.stream(name)).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+        writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, *, files_per_batch: int = 1) -> DataFrame:
     """A streaming topic from parquet files of (key, value, ord), taken in order of their modification times."""

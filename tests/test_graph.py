@@ -4,11 +4,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.functions.monoids import SUM
+from millrace.functions.monoids import AVERAGE, SET_UNION, SUM, pointwise, product
 from millrace.functions.process import Process
 from millrace.functions.text import split_words_py
 from millrace.examples import jobs
-from millrace.operators.flow import Flow, NotGroupedError
+from millrace.operators.flow import Flow, NotGroupedError, Topic
 from millrace.plans.interp import Machine
 from millrace.plans.viz import describe, dot
 
@@ -174,3 +174,85 @@ def test_command_line(capsys, tmp_path):
     assert "reads" in capsys.readouterr().out
     assert main(["gen-config", "millrace.examples.jobs:word_count", "--out", str(tmp_path / "x.json")]) == 0
     assert "regrouped" in (tmp_path / "x.json").read_text()
+
+
+def test_product_and_pointwise_sums():
+    both = bound(lambda _, s: s.map(lambda v: {"_1": [str(v)], "_2": v}).sum(product(SET_UNION, AVERAGE)).updates())
+    assert outputs(both, "out", {"k": [2, 4, 2]}, 0)["k"][-1] == {"_1": ["2", "4"], "_2": 8 / 3}
+    maps = bound(lambda _, s: s.map(lambda v: {"x": v, str(v): 1}).sum(pointwise()).updates())
+    assert outputs(maps, "out", {"k": [2, 4]}, 0)["k"][-1] == {"x": 6, "2": 1, "4": 1}
+
+
+def test_clocks_tick_in_the_interpreter():
+    machine = Machine(jobs.scheduler(60), 1)
+    machine.push("requests", 120, "b")
+    machine.push("requests", 120, "a")
+    machine.run()
+    for second in range(0, 200, 10):
+        machine.tick(second)
+    assert dict(machine.run()["triggered"]) == {0: [], 60: [], 120: ["b", "a"], 180: []}
+
+
+def test_a_topic_is_a_source():
+    flow = Flow()
+    Topic("ints").as_source(flow).sink_to("out")
+    assert outputs(flow, "out", {"k": [1]}, 0) == {"k": [1]}
+
+
+def test_batches_need_a_positive_size():
+    for size in (0, -1):
+        with pytest.raises(ValueError):
+            bound(lambda _, s: s.grouped_by_count(size))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14), st.integers(0, 999))
+def test_components_as_a_cycle(edges, seed):
+    machine = Machine(jobs.connected_components(), seed)
+    for a, b in edges:
+        machine.push("edges", a, b)
+    label = {}
+    for node, offer in machine.run()["labels"]:
+        label[node] = min(offer, label.get(node, node))
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {n: label.get(n, n) for n in least} == least
+
+
+def test_tolls_of_slow_places_only():
+    flow, tolls = jobs.linear_road_tolls()
+    flow.stream("tolls", tolls.updates())
+    machine = Machine(flow, 2)
+    for car, place, speed in [(1, "slow", 10.0), (2, "fast", 90.0), (3, "slow", 20.0)]:
+        machine.push("position-reports", car, {"_1": place, "_2": speed})
+    assert dict(machine.run()["tolls"]) == {"1": (2 - 150) ** 2, "3": (2 - 150) ** 2}
+
+
+def test_groups_are_unknown_until_named():
+    flow, groups = jobs.denormalize()
+    flow.stream("groups-with-members", groups.updates())
+    machine = Machine(flow, 4)
+    for user, map_ in [(1, {7: "Ann"}), (2, {7: "Bob", 8: "Bob"})]:
+        machine.push("users", user, map_)
+    assert all(v is None for _, v in machine.run()["groups-with-members"])
+    machine.push("groups", 7, "staff")
+    assert machine.run()["groups-with-members"][-1] == (7, {"name": "staff", "members": {1: "Ann", 2: "Bob"}})
+
+
+def test_transactions_reach_known_customers():
+    flow, known = jobs.customer_transactions()
+    flow.stream("out", known.updates())
+    machine = Machine(flow, 6)
+    for topic, key, value in [("transactions", 1, 10), ("transaction-customers", 1, 5), ("transaction-customers", 2, 5), ("customers", 5, "Eve"), ("transactions", 2, 20)]:
+        machine.push(topic, key, value)
+        machine.run()
+    assert machine.outputs["out"][-1] == (5, {"name": "Eve", "transactions": [10, 20]})
+
+
+def test_pools_can_be_named():
+    flow = Flow()
+    total = flow.source("ints").sum(SUM).stream_to("total")
+    flow.stream("out", flow.source("ints").join(total))
+    assert len(outputs(flow, "out", {"k": [1, 2]}, 3)["k"]) == 2

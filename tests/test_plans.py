@@ -15,7 +15,7 @@ from millrace.operators.components import connected_components
 from millrace.operators.flow import Flow
 from millrace.plans.batch import Batch
 from millrace.plans.interp import Machine
-from millrace.sources.topics import file_topic, memory_topic, place_of, publish
+from millrace.sources.topics import file_topic, kafka_rows, memory_topic, place_of, publish
 from millrace.streaming.runner import Streaming, file_stream
 
 SF = "/root/testdata/sf0.001"
@@ -229,7 +229,7 @@ def test_components_of_all_orders(spark, tmp_path):
     for key, customer in rows:
         a, b = sorted((root(customer), root(1000000000 + key // 2)))
         parent[b] = a
-    found = __spark_entry__.queries()["connected_components_whole"](spark, folder).collect()
+    found = __spark_entry__.queries()["connected_components"](spark, folder).collect()
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in parent} and len(found) == len(parent)
 
 
@@ -248,9 +248,9 @@ def test_no_query_stops_at_a_fixed_id(spark, tmp_path):
     run = lambda name: [tuple(r) for r in __spark_entry__.queries()[name](spark, folder).collect()]
 
     listed = {c: sorted(k for k, d in orders if d == c) for c in range(1, 9)}
-    assert sorted(run("customer_transactions_whole")) == [(c, f"C{c}", len(v), ",".join(map(str, v))) for c, v in listed.items() if v]
+    assert sorted(run("customer_transactions")) == [(c, f"C{c}", len(v), ",".join(map(str, v))) for c, v in listed.items() if v]
 
-    ticks = run("scheduler_whole")
+    ticks = run("scheduler")
     assert sorted(int(x) for _, names in ticks for x in names.split(",") if x) == sorted(k for k, _, _ in events)
     assert all(int(x) % 7 == tick % 86400 // 3600 for tick, names in ticks for x in names.split(",") if x)
 
@@ -259,10 +259,80 @@ def test_no_query_stops_at_a_fixed_id(spark, tmp_path):
         while k < end:
             k += step
             grown.append((user, k))
-    assert sorted(run("cycle_linear_whole")) == sorted(grown)
+    assert sorted(run("cycle_linear")) == sorted(grown)
 
     known = {}
     for k, size, brand in parts:
         known[brand], _ = jobs.swoosh(known.get(brand, []), {"names": [f"n{k % 17}", f"m{k % 23}"], "price": size, "categories": [brand]})
     last = {(b, ",".join(p["names"]), p["price"]) for b, found in known.items() for p in found}
     assert last <= set(run("entity_resolution"))
+
+
+def test_present_values_equal_the_last_of_the_changelog(spark):
+    rng = random.Random(12)
+    maps = [(rng.choice("abc"), {x: rng.randint(0, 3) for x in rng.sample("wxyz", rng.randint(0, 3))}) for _ in range(30)]
+    schema = "key string, value map<string,bigint>"
+    for build in (lambda s: s.sum_by_key("changes"), lambda s: s.latest_by_key("changes")):
+        flow = Flow()
+        pool = build(flow.source("ints"))
+        flow.stream("out", pool.updates())
+        last = {k: v[-1] for k, v in interpreted(flow, "out", maps).items()}
+        got = Batch(spark, flow, {"ints": memory_topic(spark, maps, schema)}).current(pool).collect()
+        assert {r["key"]: r["value"] for r in got} == last
+    ints = [(rng.choice("ab"), rng.randint(0, 9)) for _ in range(12)]
+    flow = Flow()
+    s = flow.source("ints")
+    pool = s.filter(lambda v: v > 4).sum(SUM).map(lambda v: v + 1).join(s.latest_or(-1, "bigint"))
+    flow.stream("out", pool.updates())
+    batch = Batch(spark, flow, {"ints": memory_topic(spark, ints, "key string, value bigint")})
+    last = {r["key"]: plain(r["value"]) for r in batch.stream("out").orderBy("ord").collect()}
+    assert {r["key"]: plain(r["value"]) for r in batch.current(pool).collect()} == last
+
+
+def test_maps_reach_python_machines_as_dictionaries(spark):
+    flow = Flow()
+    flow.stream("out", flow.source("ints").transform(lambda: 0, lambda n, v: (n, [f"{type(v).__name__} {v}"]), "string"))
+    messages = [("a", {}), ("a", {"x": 1}), ("b", None)]
+    assert replayed(spark, flow, "out", messages, "key string, value map<string,bigint>") == {"a": ["dict {}", "dict {'x': 1}"], "b": ["NoneType None"]}
+
+
+def test_replay_cycles_settle_with_nulls(spark):
+    flow = Flow()
+    flow.cycle("out", lambda me: flow.merge(a=flow.source("ints"), b=me).transform(lambda: 0, lambda n, v: (n, [v]), "bigint"), mode="replay")
+    assert replayed(spark, flow, "out", [("k", None), ("k", 1)]) == {"k": [None, 1]}
+
+
+def test_components_as_a_replayed_cycle(spark):
+    edges = [(1, 2), (2, 3), (5, 6), (9, 9)]
+    got = replayed(spark, jobs.connected_components(), "labels", edges, "key bigint, value bigint", "edges")
+    assert {k: min(k, *v) for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 9}
+
+
+def test_streaming_cycle(spark, tmp_path):
+    flow = Flow()
+    flow.cycle("out", lambda me: flow.merge(a=flow.source("ints"), b=me).filter(lambda v: v < 20).map(lambda v: v + 7))
+    (tmp_path / "in").mkdir()
+    messages = [(["a", "b"], [1, 15]), (["a"], [30])]
+    batches(spark, tmp_path / "in", messages)
+    topics = {"ints": file_stream(spark, str(tmp_path / "in"), "key string, value bigint, ord array<bigint>")}
+    Streaming(spark, flow, topics).start_cycle("out", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = sorted((r["key"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 8), ("a", 15), ("a", 22), ("b", 22)]
+
+
+def test_messages_for_a_broker(spark):
+    df = memory_topic(spark, [(1, {"x": 2})], "key bigint, value struct<x:int>")
+    assert [tuple(r) for r in kafka_rows(df).collect()] == [("1", '{"x":2}')]
+
+
+def test_command_line_runs_batch_and_stream(spark, tmp_path):
+    from millrace.cli import main
+
+    publish(memory_topic(spark, [("-", "a b a")], "key string, value string"), str(tmp_path / "in"))
+    topic = ["--topic", f"sentences={tmp_path / 'in'}"]
+    flow = "millrace.examples.jobs:word_count"
+    assert main(["run", flow, *topic, "--out", str(tmp_path / "batch")]) == 0
+    assert main(["run", flow, *topic, "--stream", "--out", str(tmp_path / "stream"), "--checkpoint", str(tmp_path / "check")]) == 0
+    for kind in ("batch", "stream"):
+        rows = spark.read.parquet(str(tmp_path / kind / "word-counts")).collect()
+        assert sorted((r["key"], r["value"]) for r in rows) == [("a", 1), ("a", 2), ("b", 1)]
