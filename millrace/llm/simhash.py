@@ -18,8 +18,9 @@ Blocks of bits single nothing out at a large radius (a similarity of 0.8 is twel
 There shards are dealt out by content instead: each of ``BANDS`` keys of a text is made of
 its two least shingle hashes under two orders, so texts with a Jaccard similarity of 0.8
 share no key once in 200,000 times, unrelated texts do not meet by chance, and only texts
-that share a key and lie within the radius are linked.  Large shards are cut into bins,
-and every two bins meet once.
+that share a key and lie within the radius are linked.  In a large shard the members around
+one of them are linked to it and leave; what is unlike is cut into bins, and every two bins
+meet once.
 
 Defined edge cases: very long texts are hashed whole; null and word-less texts have fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows share a fingerprint and
@@ -221,19 +222,57 @@ def near_links(prints: DataFrame, *, radius: int = RADIUS, shard_limit: int = SH
     return found
 
 
+def _bins(members: DataFrame, sizes: DataFrame, bin_size: int, among: bool = True) -> DataFrame:
+    """Shards (mask, shard, fp) in which each of a key's core meets each of the rest of its members (key, fp, core), and, if asked, every two of the rest."""
+    bins = sizes.select("key", *[F.ceil(F.col(c) / bin_size).alias(c) for c in ("cores", "rest")])
+    placed = members.join(bins, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rest"))))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    none = F.array().cast("array<struct<kind:int,x:long,y:long>>")
+    pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    with_rest = F.when(F.col("rest") > 0, F.transform(every("rest"), lambda y: pair(0, F.col("mine"), y))).otherwise(none)
+    with_core = F.when(F.col("cores") > 0, F.transform(every("cores"), lambda x: pair(0, x, F.col("mine")))).otherwise(none)
+    with_others = F.transform(every("rest"), lambda y: pair(1, F.least("mine", y), F.greatest("mine", y)))
+    met = placed.select("key", "fp", F.explode(F.when(F.col("core"), with_rest).otherwise(F.concat(with_core, with_others) if among else with_core)).alias("p"))
+    return met.select(F.xxhash64("key", "p.kind").alias("mask"), F.xxhash64("key", "p.x", "p.y").alias("shard"), "fp")
+
+
 def content_links(keyed: DataFrame, *, radius: int, bin_size: int = BIN) -> DataFrame:
-    """Links (src, dst) that connect the longs ``fp`` that share a ``key`` and lie within ``radius`` bits."""
-    keyed = common.stored(keyed.select("key", "fp").distinct(), "content-shards")
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bin_size)
-    large = common.stored(large.select("key", F.ceil(F.col("n") / bin_size).alias("bins")), "large-content-shards")
-    trees = keyed.select(F.col("key").alias("mask"), F.lit(0).cast("long").alias("shard"), "fp")
-    if large.limit(1).count():
-        trees = trees.join(large.select(F.col("key").alias("mask")), "mask", "left_anti").select("mask", "shard", "fp")
-        mine = F.pmod(F.xxhash64("fp"), F.col("bins"))
-        binned = keyed.join(large, "key").select("key", "fp", "bins", mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("b"))
-        pair = F.least("a", "b") * F.col("bins") + F.greatest("a", "b") + 1
-        trees = trees.union(binned.select("key", pair.alias("shard"), "fp"))
-    return trees.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp").mapInArrow(_search(radius), "src long, dst long")
+    """Links (src, dst) that connect the longs ``fp`` that share a ``key`` and lie within ``radius`` bits.
+
+    Of a key with over ``bin_size`` members one is taken as a centre.  If at least half of the
+    members lie within the radius of it, they are linked to it and need not meet each other,
+    only the rest, which then goes through the same again.  So a group of near copies costs
+    one pass, however large it is; a key whose members are unlike each other is cut into
+    bins of which every two meet.
+    """
+    left = common.stored(keyed.select("key", "fp").distinct(), "content-shards")
+    none = left.limit(0)
+    direct = none.select(F.col("fp").alias("src"), F.col("fp").alias("dst"))
+    trees = none.select(F.col("key").alias("mask"), F.col("fp").alias("shard"), "fp")
+    while True:
+        centre = F.min_by("fp", F.struct(F.xxhash64("fp"), F.col("fp")))
+        large = left.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).where(F.col("n") > bin_size)
+        large = common.stored(large.select("key", "centre"), "large-content-shards")
+        small = left.select(F.col("key").alias("mask"), F.lit(0).cast("long").alias("shard"), "fp")
+        if not large.limit(1).count():
+            trees = trees.union(small)
+            break
+        trees = trees.union(small.join(large.select(F.col("key").alias("mask")), "mask", "left_anti").select("mask", "shard", "fp"))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= radius
+        members = common.stored(left.join(large, "key").select("key", "fp", "centre", near.alias("core")), "content-members")
+        sizes = members.groupBy("key").agg(F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("rest"))
+        sizes = common.stored(sizes.withColumn("peeled", F.col("cores") >= F.col("rest")), "content-sizes")
+        peeled = members.join(sizes.where("peeled").select("key"), "key", "left_semi")
+        direct = direct.union(peeled.where("core and fp <> centre").select(F.col("centre").alias("src"), F.col("fp").alias("dst")))
+        # of a key that is not peeled all are rest
+        other = sizes.where("not peeled").select("key", F.lit(0).cast("long").alias("cores"), (F.col("cores") + F.col("rest")).alias("rest"))
+        flat = members.join(other.select("key"), "key", "left_semi").select("key", "fp", F.lit(False).alias("core"))
+        trees = trees.union(_bins(flat, other, bin_size))
+        # core and rest of a peeled key meet; the rest goes on
+        trees = trees.union(_bins(peeled.select("key", "fp", "core"), sizes.where("peeled and rest > 0").select("key", "cores", "rest"), bin_size, False))
+        left = common.stored(peeled.where("not core").select("key", "fp"), "content-shards")
+    found = trees.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp").mapInArrow(_search(radius), "src long, dst long")
+    return found.union(direct)
 
 
 def _fingerprints(words: int, keys: bool):
@@ -286,7 +325,8 @@ def near_duplicates(
     classes = common.stored(classes, "fingerprint-classes")
     for path in [*paths, *scratch]:
         common.delete(docs.sparkSession, path)
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # stored, so that the join can split a component that holds very many
+    least = common.stored(classes.groupBy("component").agg(F.min("least").alias("component_id")), "fingerprint-least")
     known = classes.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(known, "fp").select("doc_id", hexed, "component_id")

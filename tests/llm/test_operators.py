@@ -366,6 +366,30 @@ def test_content_shards_link_what_shares_a_key_within_the_radius(spark):
         assert len({(root(i), e) for i, e in enumerate(expected)}) == len(set(expected)) == len({root(i) for i in range(len(rows))})
 
 
+def test_a_large_group_of_near_copies_is_not_paired(spark):
+    rng = np.random.default_rng(16)
+    centres = rng.integers(0, 1 << 62, 3)
+    near = lambda c, n: [int(c) ^ int(np.bitwise_or.reduce(1 << rng.integers(0, 62, 2))) for _ in range(n)]
+    rows = [(1, x) for c, n in zip(centres, (300, 90, 20)) for x in near(c, n)] + [(1, int(x)) for x in rng.integers(0, 1 << 62, 15)]
+    rows = list(dict.fromkeys(rows))
+    found = simhash.content_links(spark.createDataFrame(rows, "key bigint, fp bigint"), radius=12, bin_size=10).collect()
+    assert all((r["src"] ^ r["dst"]).bit_count() <= 12 for r in found)
+    parent = {x: x for _, x in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        parent[root(r["src"])] = root(r["dst"])
+    values = [x for _, x in rows]
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            assert (a ^ b).bit_count() > 12 or root(a) == root(b)
+    assert len(found) < len(rows) ** 2 / 16  # with bins of ten; the group of 300 alone has 45,000 pairs
+
+
 def test_near_copies_share_a_content_key_and_other_texts_do_not():
     rng = np.random.default_rng(9)
     words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)])
