@@ -47,9 +47,9 @@ SHARD_BYTES = 4 << 20
 #: Bytes after which a chunk is full.
 CHUNK_BYTES = 1 << 20
 #: Hashes that a bucket of the census gets, about.
-BUCKET_HASHES = 1 << 21
+BUCKET_HASHES = 1 << 20
 #: Units of text that are hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _CODE_BITS = 30
 _NONE = np.uint64((1 << 64) - 1)
@@ -111,7 +111,7 @@ def spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     """Hash of ``values[first:last]`` for each pair, the same wherever the run stands."""
     n = len(values)
     if not _POWERS or len(_POWERS[0][0]) < n:
-        _POWERS[:] = [_powers(max(n, 1 << 20))]
+        _POWERS[:] = [_powers(max(n, SLICE * 2))]
     up, down = _POWERS[0]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
@@ -127,7 +127,7 @@ def runs_of(values: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     if not _POWERS or len(_POWERS[0][0]) < len(values):
-        _POWERS[:] = [_powers(max(len(values), 1 << 20))]
+        _POWERS[:] = [_powers(max(len(values), SLICE * 2))]
     up, down = _POWERS[0]
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])

@@ -390,6 +390,21 @@ def test_a_large_group_of_near_copies_is_not_paired(spark):
     assert len(found) < len(rows) ** 2 / 16  # with bins of ten; the group of 300 alone has 45,000 pairs
 
 
+def test_the_near_stage_joins_all_similar_texts_within_its_radius(spark):
+    rows = common.table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").select("doc_id", "text")
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows, words=corpus_pipeline.SHINGLE_WORDS, radius=corpus_pipeline.RADIUS).collect()}
+    texts = [(r["doc_id"], simhash.shingle_hashes(r["text"], corpus_pipeline.SHINGLE_WORDS)) for r in rows.collect()]
+    prints = np.array([simhash.summed(h) for _, h in texts], np.uint64)
+    near = 0
+    for i, (d, mine) in enumerate(texts):
+        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= corpus_pipeline.RADIUS).tolist():
+            other, theirs = texts[j]
+            same = len(np.intersect1d(mine, theirs)) / max(1, len(np.union1d(mine, theirs)))
+            near += same >= 0.5
+            assert same < 0.5 or component[d] == component[other]
+    assert near > 20
+
+
 def test_near_copies_share_a_content_key_and_other_texts_do_not():
     rng = np.random.default_rng(9)
     words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)])
