@@ -33,6 +33,26 @@ def twitter_reach() -> Flow:
     return flow
 
 
+def twitter_reach_once(follower_type: str = "bigint") -> tuple[Flow, Pool]:
+    """The same audience, but a user shows a link to each of their followers once, so nothing grows with repeated tweets."""
+    flow = Flow()
+    pair = lambda f, u: F.struct(f.cast(follower_type).alias("follower"), u.cast("string").alias("url"))
+    people = flow.source("followers").map(lambda f: pair(f, F.lit(None)), lambda f: {"follower": f, "url": None})
+    links = flow.source("tweets").flat_map(lambda t: F.filter(split_words(t), lambda w: w.startswith("http")), lambda t: [w for w in split_words_py(t) if w.startswith("http")])
+    shown = links.map(lambda u: pair(F.lit(None), u), lambda u: {"follower": None, "url": u})
+
+    def show(state, message):
+        known, told = state
+        if message["url"] is None:
+            known.append(message["follower"])  # the list is this key's own
+            return (known, told), []
+        new = known[told.get(message["url"], 0) :]
+        return (known, {**told, message["url"]: len(known)}), [{"_1": message["url"], "_2": f} for f in new]
+
+    met = flow.merge(followers=people, links=shown).transform(lambda: ([], {}), show, f"struct<_1:string,_2:{follower_type}>")
+    return flow, met.group_by_key().stream_to("followers-by-link").distinct_count()
+
+
 def linear_road() -> Flow:
     """``position-reports`` (vehicle: (place and time, speed)) to ``average-speed`` by place and time."""
     flow = Flow()

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..operators.flow import Flow, Pool, Stream, literal, so_far
-from .ir import Clock, Graph, GroupBy, Lookup, Merge, Node, PureTransform, Source, StatefulTransform
+from .ir import Clock, Graph, GroupBy, Lookup, Merge, Node, PureTransform, Source, StatefulTransform, Transform
 from .storage import stored
 
 
@@ -75,7 +75,7 @@ def without(body: Node, name: str) -> Node:
         if isinstance(node, Merge):
             left = [(n, p) for n, b in node.branches if (p := pruned(b)) is not None]
             return Merge(left) if left else None
-        if isinstance(node, (PureTransform, GroupBy, StatefulTransform)):
+        if isinstance(node, (Transform, GroupBy)):
             up = pruned(node.up)
             return None if up is None else replace(node, up=up)
         return node

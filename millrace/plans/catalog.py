@@ -462,15 +462,8 @@ def twitter_reach(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     followers = topic(events.where("event_id % 3 <> 0"), key="user_id % 40", value="user_id", order=["event_id"])
     tweets = topic(events.where("event_id % 3 = 0"), key="user_id % 40", value="concat('see http://x/', event_type)", order=["event_id"])
-    flow = Flow()
-    links = flow.source("tweets").flat_map(lambda t: F.filter(split_words(t), lambda w: w.startswith("http"))).map(lambda u: F.struct(u.alias("_1"), F.lit(None).cast("bigint").alias("_2")))
-    people = flow.source("followers").map(lambda f: F.struct(F.lit(None).cast("string").alias("_1"), f.alias("_2")))
-    # a link reaches the followers known by then; only first meetings count, so the earliest of each suffices
-    batch = Batch(spark, flow, {"followers": followers, "tweets": tweets})
-    first = batch.lower(people).groupBy("key", F.col("value._2").alias("follower")).agg(F.min(F.col("ord")[0]).alias("known"))
-    last = batch.lower(links).groupBy("key", F.col("value._1").alias("url")).agg(F.max(F.col("ord")[0]).alias("shown"))
-    reached = last.join(first, "key").where("known < shown")
-    return reached.groupBy("url").agg(F.countDistinct("follower").alias("n"))
+    flow, reach = jobs.twitter_reach_once()
+    return Batch(spark, flow, {"followers": followers, "tweets": tweets}).current(reach).select(F.col("key").alias("url"), F.col("value").alias("n"))
 
 
 @_query(

@@ -42,33 +42,35 @@ class Clock(Node):
 
 
 @dataclass(eq=False)
-class PureTransform(Node):
-    """``kind`` map, filter or flat_map of ``f``; ``keyed`` functions get the key first."""
+class Transform(Node):
+    """Messages of one input turned into others under the same keys; a ``keyed`` function gets the key first."""
 
     up: Node
+
+    def inputs(self) -> list[Node]:
+        return [self.up]
+
+
+@dataclass(eq=False)
+class PureTransform(Transform):
+    """``kind`` map, filter or flat_map of ``f``."""
+
     kind: str
     f: Callable
     py: Callable | None = None
     keyed: bool = False
 
-    def inputs(self) -> list[Node]:
-        return [self.up]
-
 
 @dataclass(eq=False)
-class StatefulTransform(Node):
+class StatefulTransform(Transform):
     """A state machine for each key.  ``type`` is the Spark type of its outputs."""
 
-    up: Node
     init: Callable[[], Any]
     step: Callable[[Any, Any], tuple[Any, list]]
     type: str | None = None
     window: Callable | None = None
     keyed: bool = False
 
-    def inputs(self) -> list[Node]:
-        return [self.up]
-
 
 @dataclass(eq=False)
 class Merge(Node):

@@ -256,3 +256,16 @@ def test_pools_can_be_named():
     total = flow.source("ints").sum(SUM).stream_to("total")
     flow.stream("out", flow.source("ints").join(total))
     assert len(outputs(flow, "out", {"k": [1, 2]}, 3)["k"]) == 2
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("uv"), st.one_of(st.integers(0, 4), st.sampled_from(["http://a", "see http://b now"]))), max_size=25))
+def test_showing_links_once_reaches_the_same_users(messages):
+    flow, reach = jobs.twitter_reach_once()
+    flow.stream("reach", reach.updates())
+    once, always = Machine(flow), Machine(jobs.twitter_reach())
+    for user, x in messages:
+        for machine in (once, always):
+            machine.push("followers" if isinstance(x, int) else "tweets", user, x)
+            machine.run()
+    assert dict(once.outputs["reach"]) == dict(always.outputs["reach"])
