@@ -50,7 +50,17 @@ def twitter_reach_once(follower_type: str = "bigint") -> tuple[Flow, Pool]:
         return (known, {**told, message["url"]: len(known)}), [{"_1": message["url"], "_2": f} for f in new]
 
     met = flow.merge(followers=people, links=shown).transform(lambda: ([], {}), show, f"struct<_1:string,_2:{follower_type}>")
-    return flow, met.group_by_key().stream_to("followers-by-link").distinct_count()
+    reach = met.group_by_key().stream_to("followers-by-link").distinct_count()
+
+    def final(lower):
+        """In the end a link has reached the followers that were known when it was last shown."""
+        known = lower(people.node).groupBy("key", "value.follower").agg(F.min("ord").alias("known"))
+        last = lower(shown.node).groupBy("key", "value.url").agg(F.max("ord").alias("last"))
+        met = last.join(known, "key").where("known <= last")
+        return met.groupBy(F.col("url").alias("key")).agg(F.countDistinct("follower").alias("value"))
+
+    reach.final = final
+    return flow, reach
 
 
 def linear_road() -> Flow:

@@ -107,6 +107,20 @@ def test_twitter_reach_and_scheduler(spark):
     assert sorted((r["key"], r["value"]) for r in out.collect()) == [("http://l", 1), ("http://l", 2), ("http://l", 2)]
 
 
+def test_reach_in_the_end_is_that_of_the_changelog(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("uvw"), rng.choice([1, 2, 3, "see http://a", "http://b http://a"]), i) for i in range(40)]
+    topics = {}
+    for name, kind in (("followers", int), ("tweets", str)):
+        df = spark.createDataFrame([r for r in rows if isinstance(r[1], kind)], f"key string, value {'bigint' if kind is int else 'string'}, n bigint")
+        topics[name] = df.select("key", "value", F.array("n").alias("ord"))
+    flow, reach = jobs.twitter_reach_once()
+    flow.stream("reach", reach.updates())
+    batch = Batch(spark, flow, topics)
+    last = {r["key"]: r["value"] for r in batch.stream("reach").orderBy("ord").collect()}
+    assert last and {r["key"]: r["value"] for r in batch.current(reach).collect()} == last
+
+
 def test_cycles(spark):
     flow = Flow()
     flow.cycle("out", lambda me: flow.merge(a=flow.source("ints"), b=me).filter(lambda v: v < 20).map(lambda v: v + 2))
