@@ -29,7 +29,7 @@ import numpy as np
 SEPARATOR, SENTINEL = 1, 0
 _TOP = 258
 #: Bytes of tuples that a queue holds before older runs go to disk; a shard of 4 MB has about 20 MB of them.
-QUEUE_BYTES = 2 << 20
+QUEUE_BYTES = 4 << 20
 
 
 class Queues:
@@ -267,14 +267,27 @@ def sorted_suffixes(text: np.ndarray, cap: int, memory_bytes: int = QUEUE_BYTES)
         equal = text[a[live] + step] == text[b[live] + step]
         same[live[~equal]] = False
         live = live[equal]
+    # a name is the place of the first that bears it
+    heads = np.flatnonzero(np.append(True, ~same))
+    group = np.append(0, np.cumsum(~same))
     names = np.empty(len(minima), np.int64)
-    names[rank_of[order]] = np.concatenate([[0], np.cumsum(~same)])
+    names[rank_of[order]] = heads[group]
+    shared = np.zeros(len(minima), bool)
+    shared[rank_of[order]] = np.diff(np.append(heads, len(minima)))[group] > 1
+    todo = np.flatnonzero(shared)  # only names that several bear are looked at again
     reach = 1  # names that a rank covers; each covers at least one symbol more than it shares with the next
-    while reach <= cap and names.max() + 1 < len(names):
-        nxt = np.concatenate([names[reach:] + 1, np.zeros(min(reach, len(names)), np.int64)])[: len(names)]
-        pair = names * (len(names) + 1) + nxt
-        _, names = np.unique(pair, return_inverse=True)
-        names = names.astype(np.int64)
+    while reach <= cap and len(todo):
+        after = todo + reach
+        key = names[todo] * (len(names) + 1) + np.where(after < len(names), names[np.minimum(after, len(names) - 1)] + 1, 0)
+        by = np.argsort(key)
+        todo, key = todo[by], key[by]
+        old = names[todo]
+        new_head = np.append(True, key[1:] != key[:-1])
+        old_head = np.append(True, old[1:] != old[:-1])
+        at = np.arange(len(todo))
+        names[todo] = old + np.maximum.accumulate(np.where(new_head, at, 0)) - np.maximum.accumulate(np.where(old_head, at, 0))
+        alone = new_head & np.append(new_head[1:], True)
+        todo = todo[~alone]
         reach *= 2
     minima = minima[np.argsort(names, kind="stable")]
     wide = minima.astype(np.int64)
