@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard, stored
 
 #: Edges that a task contracts at once.
 _EDGES = 1 << 18
+#: Edges of one node that a join may bring to one task; of large graphs, one in ``_SHARE`` of all edges.
+_HOT = 1 << 16
+_SHARE = 1 << 12
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,35 +52,62 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
+def _mark(links: DataFrame) -> Row:
+    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def _parents(links: DataFrame) -> DataFrame:
+    """The least smaller neighbour ``m`` of each node that has any, and the number ``n`` of them."""
+    return stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-parents")
+
+
+def _joined(links: DataFrame, key: str, parents: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``links`` with the parent ``m``, if any, of the node in ``key``.  The edges of the nodes in ``hot`` stay where they are."""
+    parents = parents.select(F.col("u").alias(key), "m")
+    if hot is None or hot.isEmpty():
+        return links.join(parents, key, "left")
+    hot = F.broadcast(hot)
+    few = F.broadcast(parents.join(hot, key, "left_semi"))
+    return links.join(hot, key, "left_anti").join(parents, key, "left").union(links.join(hot, key, "left_semi").join(few, key, "left"))
+
+
 def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node`` and ``component`` (the least node it reaches) for every node of an edge.
 
     Each round links neighbours to the least node around them, first the larger ones, then
     the smaller ones; a graph of n nodes contracts to stars in about log(n) rounds.  The
-    least neighbour is a pre-aggregated minimum joined back to the edges, so a node with
-    very many neighbours is never gathered in one place.  Each round is stored.  Where nodes
-    are longs, a task first replaces its edges, some hundred thousand at a time, by stars,
-    which saves rounds.  Null ends are ignored; a loop makes its node a component of its own.
+    least smaller neighbour, a node's parent, is a pre-aggregated minimum joined back to the
+    edges; parents of nodes with very many edges (4,096 nodes at most) are broadcast, so no
+    task gathers the edges of such a node.  Each round is stored.  Where nodes are longs, a
+    task first replaces its edges, some hundred thousand at a time, by stars, which saves
+    rounds.  Null ends are ignored; a loop makes its node a component of its own.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     pairs = stored(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
     alone = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    links, before = pairs.where("u > v"), None
+    links = pairs.where("u > v")
     if pairs.dtypes[0][1] == "bigint":
         links = stored(links.mapInArrow(_contract, "u bigint, v bigint").distinct(), "cc-stars")
-    while True:
-        mark = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+    mark = _mark(links)
+    while mark[0]:
+        most = max(_HOT, mark[0] // _SHARE)
+        hot = None
+        if mark[0] > most:
+            hot = stored(links.groupBy("v").count().where(F.col("count") > most).select("v"), "cc-hot")
+        parents = _parents(links)
+        large = stored(_joined(links, "v", parents, hot).select("u", F.coalesce("m", "v").alias("v")).distinct(), "cc-large")
+        same = _mark(large) == mark and parents.count() == mark[0]
+        discard(parents, *[x for x in [hot] if x is not None])
+        if same:  # every node has one parent, which has none
+            discard(large)
             break
-        before = mark
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = stored(large.where("u > v").distinct(), "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        last, links = links, stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct(), "cc-small")
-        discard(large, last)
+        parents = _parents(large)
+        crowded = parents.where("n > 1")
+        hot = crowded.where(F.col("n") > most).select("u") if mark[0] > most else None
+        small = _joined(large, "u", crowded, hot).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, links = links, stored(small.union(parents.select("u", "m")).distinct(), "cc-small")
+        discard(large, parents, last)
+        mark = _mark(links)
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     known = found.union(roots)

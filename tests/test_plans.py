@@ -144,6 +144,33 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_no_task_gathers_the_edges_of_a_hub(spark):
+    leaves = 80_000
+    ids = spark.range(leaves).select(F.format_string("m%06d", "id").alias("leaf"))
+    least, greatest = ids.select(F.lit("a").alias("src"), F.col("leaf").alias("dst")), ids.select(F.lit("z").alias("src"), F.concat(F.lit("n"), "leaf").alias("dst"))
+    context, group = spark.sparkContext, "edges of a hub"
+    as_large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # larger tables are not broadcast
+    before = {k: spark.conf.get(k) for k in as_large}
+    for k, v in as_large.items():
+        spark.conf.set(k, v)
+    context.setJobGroup(group, group)
+    try:
+        found = connected_components(least.union(greatest)).groupBy("component").count().collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, found)) == [("a", leaves + 1), ("nm000000", leaves + 1)]
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds}
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    read = []
+    for k in stages:
+        tasks = store.taskList(k, 0, 1000)
+        read += [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in map(tasks.apply, range(tasks.size())) if t.taskMetrics().isDefined()]
+    assert leaves / 4 < max(read) < leaves
+
+
 def test_topics_in_files(spark, tmp_path):
     df = memory_topic(spark, [("a", 1), ("b", 2)], "key string, value bigint")
     publish(df, str(tmp_path / "t"))
